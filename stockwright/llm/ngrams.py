@@ -15,6 +15,8 @@ BITS = 14
 BUCKETS = 1 << BITS
 #: Log ratios are whole multiples of 2^-20, so that sums are exact in any order.
 SCALE = 1 << 20
+#: Counts that each bucket has beforehand on either side.
+PSEUDO = 10
 #: Bytes that are hashed at once.
 PIECE = 1 << 22
 
@@ -74,9 +76,11 @@ def count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of the ratio of the two multinomials, add-one smoothed, as whole
-    multiples of 1 / SCALE. Without trusted text all ratios are zero."""
-    if not target.sum():
+    """Log of the ratio of the two multinomials, as whole multiples of
+    1 / SCALE. Raw counts are brought to the trusted total, and both get ``PSEUDO``
+    pseudo-counts a bucket, so a bucket that little text speaks for is near
+    zero. Without trusted text all ratios are zero."""
+    if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS, np.int64)
-    t, r = (target + 1) / (target.sum() + BUCKETS), (raw + 1) / (raw.sum() + BUCKETS)
-    return np.round(np.log(t / r) * SCALE).astype(np.int64)
+    expected = raw * (target.sum() / raw.sum())
+    return np.round(np.log((target + PSEUDO) / (expected + PSEUDO)) * SCALE).astype(np.int64)

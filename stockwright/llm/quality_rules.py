@@ -33,8 +33,8 @@ from . import ngrams, textstats
 MIN_WORDS = 10
 MAX_REPEAT = 20  # per cent of words
 #: Least mean log ratio of an n-gram. Text like the trusted one is near zero
-#: whatever its language; other kinds of text lose a nat or more per n-gram.
-THRESHOLD = -0.15
+#: whatever its language; other kinds of text lose about a nat per n-gram.
+THRESHOLD = -0.2
 MAX_TRUSTED = 20_000
 
 RESULT = T.StructType(
