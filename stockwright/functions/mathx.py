@@ -8,7 +8,7 @@ from math import pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import WindowSpec
 
 # Coefficients of Hart's rational approximation of the upper normal tail
 # (as given by West, "Better approximations to cumulative normal functions", 2005).
@@ -82,5 +82,6 @@ def cut_rank(rank: Column, n: Column, parts: int) -> Column:
     return out
 
 
-def by(*columns: str) -> WindowSpec:
-    return Window.partitionBy(*columns)
+def corr(a: Column, b: Column) -> Column:
+    """Pearson correlation; null where a side is flat (the built-in raises)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

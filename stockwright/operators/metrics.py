@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.mathx import average_rank, ratio
+from ..functions.mathx import average_rank, corr, ratio
 
 FLAT = 1e-12
 CLOSE = 0.05
@@ -85,7 +85,7 @@ def pairs(cache: DataFrame, keys: Sequence[str], value: str = "p50") -> DataFram
 
 def _moving_corr(p: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correlation within each group; missing where either side is flat."""
-    g = p.groupBy("a", "b", *keys).agg(F.corr("va", "vb").alias("r"), (F.var_pop("va") * F.count("va")).alias("sa"), (F.var_pop("vb") * F.count("vb")).alias("sb"))
+    g = p.groupBy("a", "b", *keys).agg(corr(F.col("va"), F.col("vb")).alias("r"), (F.var_pop("va") * F.count("va")).alias("sa"), (F.var_pop("vb") * F.count("vb")).alias("sb"))
     return g.select("a", "b", *keys, F.when((F.col("sa") > FLAT) & (F.col("sb") > FLAT), F.col("r")).alias("r"))
 
 
@@ -94,11 +94,16 @@ def correlations(cache: DataFrame) -> DataFrame:
     Pearson of demeaned forecasts, and the mean of per-series correlations with
     the share of series where it is defined."""
     p = pairs(cache, ["fold", "series_id", "date"])
-    w = lambda c: average_rank(Window.partitionBy("a", "b").orderBy(c), Window.partitionBy("a", "b", c))
+
+    def w(c: str) -> Column:
+        # values that differ by rounding alone are ties
+        near = F.round(c, 9)
+        return average_rank(Window.partitionBy("a", "b").orderBy(near), Window.partitionBy("a", "b", near))
+
     ranked = p.withColumn("ra", w("va")).withColumn("rb", w("vb"))
-    pooled = ranked.groupBy("a", "b").agg(F.corr("va", "vb").alias("pearson_pooled"), F.corr("ra", "rb").alias("spearman_pooled"))
+    pooled = ranked.groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias("pearson_pooled"), corr(F.col("ra"), F.col("rb")).alias("spearman_pooled"))
     level = p.groupBy("a", "b", "fold", "series_id").agg(F.avg("va").alias("va"), F.avg("vb").alias("vb"))
-    level_r = level.withColumn("ra", w("va")).withColumn("rb", w("vb")).groupBy("a", "b").agg(F.corr("va", "vb").alias("pearson_level"), F.corr("ra", "rb").alias("spearman_level"))
+    level_r = level.withColumn("ra", w("va")).withColumn("rb", w("vb")).groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias("pearson_level"), corr(F.col("ra"), F.col("rb")).alias("spearman_level"))
     per = _moving_corr(p, ["fold", "series_id"]).groupBy("a", "b").agg(F.avg("r").alias("mean_series"), F.avg(F.col("r").isNotNull().cast("double")).alias("defined"))
     return pooled.join(level_r, ["a", "b"]).join(per, ["a", "b"])
 
@@ -143,7 +148,7 @@ def lead_time_comparison(cache: DataFrame, lead: int) -> DataFrame:
     def side(p: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
         diff = F.abs(F.col("va") - F.col("vb"))
         mae = 0.5 * (F.avg(F.abs(F.col("va") - F.col("y"))) + F.avg(F.abs(F.col("vb") - F.col("y"))))
-        whole = p.groupBy("a", "b").agg(F.corr("va", "vb").alias(f"pooled_{name}"), ratio(F.avg(diff), F.avg("y")).alias(f"diff_{name}"), ratio(F.avg(diff), mae).alias(f"of_mae_{name}"))
+        whole = p.groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias(f"pooled_{name}"), ratio(F.avg(diff), F.avg("y")).alias(f"diff_{name}"), ratio(F.avg(diff), mae).alias(f"of_mae_{name}"))
         per = _moving_corr(p, keys).groupBy("a", "b").agg(F.avg("r").alias(f"within_{name}"), F.avg(F.col("r").isNotNull().cast("double")).alias(f"defined_{name}"))
         return whole.join(per, ["a", "b"])
 

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 ALPHA = 0.1
 
-#: (training values, horizon, grain) -> array of p50 by step
-Point = Callable[[Column, int, "Grain"], Column]  # noqa: F821
+#: (training values, horizon, grain, shared columns) -> array of p50 by step
+Point = Callable[..., Column]
 
 
 def _flat(value: Column, horizon: int) -> Column:
     return F.array_repeat(F.greatest(value, F.lit(0.0)), horizon)
 
 
-def seasonal_naive(y: Column, horizon: int, grain) -> Column:
+def seasonal_naive(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
     """The last full season again; the last value where there is no season."""
     n, s = F.size(y), grain.naive_season
     steps = [F.greatest(F.coalesce(F.get(y, F.when(n >= s, n - s + h % s).otherwise(n - 1)), F.lit(0.0)), F.lit(0.0)) for h in range(horizon)]
     return F.array(*steps)
 
 
-def moving_average(y: Column, horizon: int, grain) -> Column:
+def moving_average(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
     """Mean of the last window, flat; also the served trailing mean."""
     k = F.least(F.size(y), F.lit(grain.ma_window))
     last = F.slice(y, F.size(y) - k + 1, k)
@@ -45,16 +45,16 @@ def _croston(y: Column) -> Column:
     return F.aggregate(y, start, step, lambda a: F.coalesce(a["size"] / a["gap"], F.lit(0.0)))
 
 
-def croston_classic(y: Column, horizon: int, grain) -> Column:
-    return _flat(_croston(y), horizon)
+def croston_classic(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
+    return _flat((shared or {}).get("croston", _croston(y)), horizon)
 
 
-def croston_sba(y: Column, horizon: int, grain) -> Column:
+def croston_sba(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
     """Croston without its bias (Syntetos and Boylan, 2005)."""
-    return _flat(_croston(y) * (1 - ALPHA / 2), horizon)
+    return _flat((shared or {}).get("croston", _croston(y)) * (1 - ALPHA / 2), horizon)
 
 
-def tsb(y: Column, horizon: int, grain) -> Column:
+def tsb(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
     """Smoothed probability times smoothed size (Teunter et al., 2011)."""
     none = F.lit(None).cast("double")
     start = F.struct(none.alias("p"), none.alias("size"))
@@ -68,6 +68,9 @@ def tsb(y: Column, horizon: int, grain) -> Column:
     return _flat(F.aggregate(y, start, step, lambda a: F.coalesce(a["p"] * a["size"], F.lit(0.0))), horizon)
 
 
+#: Columns that several models read, computed once a row where any does.
+SHARED: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {"croston": (("CrostonClassic", "CrostonSBA"), _croston)}
+
 NATIVE: dict[str, Point] = {
     "SeasonalNaive": seasonal_naive,
     "MovingAverage": moving_average,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ...grain import Grain
 from ..folds import folds
 from .fitted import FITTED
-from .native import NATIVE
+from .native import NATIVE, SHARED
 
 LADDER = ("SeasonalNaive", "MovingAverage", "CrostonClassic", "CrostonSBA", "TSB")
 #: Names that the registry knows but cannot run here.
@@ -34,9 +34,17 @@ def check(names: Iterable[str]) -> None:
             raise ValueError(f"no model {n!r}; have {sorted([*NATIVE, *FITTED])}")
 
 
+def parallel(df: DataFrame) -> int:
+    """Partitions for steps whose cost is computation: all cores at least."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def arrays(panel: DataFrame) -> DataFrame:
     """(series_id, start, ys): values in order; missing ones count as zero."""
-    g = panel.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("date", F.coalesce("y", F.lit(0.0)).alias("y")))).alias("a"))
+    # an exchange that is not coalesced: what follows is work per series, not bytes
+    spread = panel.select("series_id", "date", "y").repartition(parallel(panel), "series_id")
+    g = spread.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("date", F.coalesce("y", F.lit(0.0)).alias("y")))).alias("a"))
     return g.select("series_id", F.col("a")[0]["date"].alias("start"), F.transform("a", lambda x: x["y"]).alias("ys"))
 
 
@@ -51,8 +59,10 @@ def points(arrays_: DataFrame, origins: DataFrame, models: Iterable[str], horizo
     native = [n for n in names if n in NATIVE]
     parts = []
     if native:
-        found = [F.struct(F.lit(n).alias("model"), NATIVE[n](F.col("train"), horizon, grain).alias("p")) for n in native]
-        parts.append(base.select(*keep, F.explode(F.array(*found)).alias("m")).select(*keep, "m.model", F.posexplode("m.p").alias("step", "p50")))
+        shared = {k: F.col(f"_{k}") for k, (users, _) in SHARED.items() if set(users) & set(native)}
+        ready = base.withColumns({f"_{k}": SHARED[k][1](F.col("train")) for k in shared})
+        found = [F.struct(F.lit(n).alias("model"), NATIVE[n](F.col("train"), horizon, grain, shared).alias("p")) for n in native]
+        parts.append(ready.select(*keep, F.explode(F.array(*found)).alias("m")).select(*keep, "m.model", F.posexplode("m.p").alias("step", "p50")))
     for n in (x for x in names if x in FITTED):
         parts.append(_fit(base.select(*keep, "train"), n, horizon, grain, keep))
     out = parts[0]
@@ -83,6 +93,14 @@ def _half_width(a: Column, b: Column) -> Column:
     return F.coalesce(F.least(a, b) + LEVEL * F.abs(a - b), a, b)
 
 
+def with_actual(arrays_: DataFrame, origins: DataFrame, models: Iterable[str], horizon: int, grain: Grain) -> DataFrame:
+    """points with ``actual``, the value at the forecast's date, taken from the
+    same arrays: the panel is not joined again."""
+    real = arrays_.select(F.col("series_id").alias("_s"), F.col("start").alias("_start"), "ys")
+    p = points(arrays_, origins, models, horizon, grain).join(real, F.col("series_id") == F.col("_s"))
+    return p.withColumn("actual", F.get("ys", grain.steps(F.col("_start"), F.col("date")))).drop("_s", "_start", "ys")
+
+
 def quantiles(panel: DataFrame, models: Iterable[str], grain: Grain, end: date) -> DataFrame:
     """(fold, model, series_id, step, date, p10, p50, p90) of all folds.
 
@@ -90,11 +108,10 @@ def quantiles(panel: DataFrame, models: Iterable[str], grain: Grain, end: date)
     step: the 0.8-quantile of absolute errors of two earlier windows. All are
     clipped at zero.
     """
-    a = arrays(panel)
-    p = points(a, conformal_origins(panel, end, grain), models, grain.horizon, grain)
-    # the value at a forecast's date, from the same arrays: no join with the panel
-    real = a.select(F.col("series_id").alias("_s"), "start", "ys")
-    p = p.join(real, p.series_id == real._s).withColumn("actual", F.get("ys", grain.steps(F.col("start"), F.col("date")))).drop("_s", "start", "ys")
+    wanted = conformal_origins(panel, end, grain)
+    p = with_actual(arrays(panel), wanted.select("train_end").distinct(), models, grain.horizon, grain)
+    # folds share origins: each is forecast once, then handed to its folds
+    p = p.join(F.broadcast(wanted), "train_end")
     err = lambda b: F.max(F.when(F.col("back") == b, F.abs(F.col("actual") - F.col("p50"))))
     main = lambda c: F.max(F.when(F.col("back") == 0, F.col(c)))
     g = p.groupBy("fold", "model", "series_id", "step").agg(main("date").alias("date"), main("p50").alias("p50"), err(1).alias("e1"), err(2).alias("e2"), main("actual").alias("y"))

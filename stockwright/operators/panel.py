@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.mathx import corr
+
 OUTLIER = 10.0
 
 
@@ -126,7 +128,7 @@ def weekday_share(lines: DataFrame) -> DataFrame:
 
 def price_correlation(panel: DataFrame) -> DataFrame:
     """Per series: correlation of price and units, where both move."""
-    both = panel.groupBy("series_id").agg(F.corr("price", "y").alias("r"), F.var_samp("price").alias("vp"), F.var_samp("y").alias("vy"))
+    both = panel.groupBy("series_id").agg(corr(F.col("price"), F.col("y")).alias("r"), F.var_samp("price").alias("vp"), F.var_samp("y").alias("vy"))
     return both.select("series_id", F.when((F.col("vp") > 1e-12) & (F.col("vy") > 1e-12), F.col("r")).alias("r"))
 
 

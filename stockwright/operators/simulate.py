@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.mathx import ratio
 from ..grain import Grain
 from .economics import Costs
+from .models.registry import parallel
 
 #: Decimals of s, S and the start: both engines of a check must see equal ones.
 PLACES = 6
@@ -101,6 +102,8 @@ def detail(policies: DataFrame, demand: DataFrame, prices: DataFrame, lead: int,
     p = p.withColumn("lot_multiple", F.explode(F.array(*[F.lit(float(m)) for m in lots])))
     lot = F.col("lot_multiple") * F.greatest(F.col("mean"), F.lit(0.0))
     p = p.withColumn("s", F.round("reorder_point", PLACES)).withColumn("up_to", F.round(F.col("reorder_point") + lot, PLACES)).withColumn("on_hand_start", F.round(F.col("reorder_point") + start_fraction * lot, PLACES))
+    # the fold over periods is work per row: spread rows over all cores
+    p = p.repartition(parallel(p), "fold", "model", "series_id")
     p = p.withColumn("n_periods", F.size("demand")).withColumn("r", run(F.col("demand"), F.col("s"), F.col("up_to"), F.col("on_hand_start"), lead))
     return p.select("*", *[F.col(f"r.{c}").alias(c) for c in TOTALS]).drop("demand", "r", "reorder_point").withColumnRenamed("s", "reorder_point").withColumnRenamed("up_to", "order_up_to")
 

@@ -194,7 +194,7 @@ def _corr(a: str, b: str, keys: str, value: str = "va, vb") -> str:
 
 def _ranked(source: str) -> str:
     def rank(v: str) -> str:
-        return f"rank() OVER (PARTITION BY a, b ORDER BY {v}) + (count(*) OVER (PARTITION BY a, b, {v}) - 1) / 2.0"
+        return f"rank() OVER (PARTITION BY a, b ORDER BY round({v}, 9)) + (count(*) OVER (PARTITION BY a, b, round({v}, 9)) - 1) / 2.0"
 
     return f"(SELECT *, {rank('va')} AS ra, {rank('vb')} AS rb FROM {source})"
 

@@ -102,21 +102,22 @@ class Base:
         return registry.quantiles(self.units, registry.LADDER, WEEKLY, self.end)
 
     @cached_property
-    def residuals(self) -> DataFrame:
-        return decision.lead_time_residuals(self.cache, LEAD)
+    def point_cache(self) -> DataFrame:
+        """Point forecasts and demand over the first lead time of each fold and
+        of the calibration split before the first (fold 0)."""
+        first = self.folds.where("fold = 1").select(F.lit(0).alias("fold"), WEEKLY.shift(F.col("train_end"), -LEAD).alias("train_end"))
+        origins = self.folds.select("fold", "train_end").unionByName(first)
+        p = registry.with_actual(self.arrays, origins, registry.LADDER, LEAD, WEEKLY)
+        return p.withColumnRenamed("actual", "y")
 
     @cached_property
-    def first_residuals(self) -> DataFrame:
-        """Residuals of the calibration split before the first fold, as fold 0."""
-        f = self.folds.where("fold = 1").select(F.lit(0).alias("fold"), WEEKLY.shift(F.col("train_end"), -LEAD).alias("train_end"))
-        p = registry.points(self.arrays, f, registry.LADDER, LEAD, WEEKLY)
-        p = p.join(self.arrays.select(F.col("series_id").alias("_s"), "start", "ys"), F.col("series_id") == F.col("_s")).withColumn("y", F.get("ys", WEEKLY.steps(F.col("start"), F.col("date"))))
-        return decision.lead_time_residuals(p, LEAD)
+    def residuals(self) -> DataFrame:
+        return decision.lead_time_residuals(self.point_cache.where("fold > 0"), LEAD)
 
     @cached_property
     def chained(self) -> DataFrame:
         """Residuals that size each fold: those of the fold before it."""
-        past = self.first_residuals.unionByName(self.residuals.where(F.col("fold") < WEEKLY.n_folds))
+        past = decision.lead_time_residuals(self.point_cache.where(F.col("fold") < WEEKLY.n_folds), LEAD)
         return past.withColumn("fold", F.col("fold") + 1)
 
     @cached_property
@@ -127,10 +128,16 @@ class Base:
     def lead_stats(self) -> DataFrame:
         return decision.lead_time_stats(self.cache, LEAD)
 
+    @cached_property
+    def lead_means(self) -> DataFrame:
+        """Lead-time means alone, which need no intervals."""
+        p = self.point_cache.where("fold > 0").withColumns({"p10": F.col("p50"), "p90": F.col("p50")})
+        return decision.lead_time_stats(p, LEAD)
+
     @cached_property
     def policy(self) -> DataFrame:
         """The shipped policy: cycle service level on pooled deviations."""
-        stats = self.lead_stats.drop("std").join(self.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
+        stats = self.lead_means.drop("std").join(self.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
         return decision.csl_policy(stats, LEVEL)
 
     @cached_property
@@ -144,7 +151,7 @@ class Base:
 
     @cached_property
     def swept(self) -> DataFrame:
-        p = sweep.policies(self.lead_stats, self.sigma, sweep.targets(self.spark))
+        p = sweep.policies(self.lead_means, self.sigma, sweep.targets(self.spark))
         return simulate.priced(simulate.detail(p, self.demand, self.prices, LEAD, (0.0, 2.0)), COSTS, WEEKLY)
 
     @cached_property
@@ -405,7 +412,7 @@ def reorder_decisions(b: Base) -> DataFrame:
 
 @query
 def fill_rate_policy(b: Base) -> DataFrame:
-    stats = b.lead_stats.drop("std").join(b.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
+    stats = b.lead_means.drop("std").join(b.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
     return decision.fill_rate_policy(stats, LEVEL)
 
 
