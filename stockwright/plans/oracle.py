@@ -260,7 +260,7 @@ BODY: dict[str, str] = {
     "zero_rates": f"SELECT fold, series_id, {rs('zero_rate', 'volume')} FROM stats",
     "unit_prices": f"SELECT fold, series_id, {r('unit_price')} FROM prices",
     "hashed_sample": "SELECT series_id FROM (SELECT DISTINCT series_id FROM units) ORDER BY md5('42:' || series_id), series_id LIMIT 40",
-    "selected_series": "SELECT series_id, count_if(y > 0) AS active_weeks FROM units WHERE date < (SELECT min(date) FROM units) + 364 GROUP BY 1 HAVING count_if(y > 0) >= 13",
+    "selected_series": "SELECT series_id, CAST(count_if(y > 0) AS BIGINT) AS active_weeks FROM units WHERE date < (SELECT min(date) FROM units) + 364 GROUP BY 1 HAVING count_if(y > 0) >= 13",
     "closed_weeks": f"SELECT date, {r('total')} FROM (SELECT date, sum(y) AS total FROM units GROUP BY 1) WHERE total < 0.05 * (SELECT median(t) FROM (SELECT sum(y) AS t FROM units GROUP BY date))",
     "monthly_share": f"SELECT CAST(month(date) AS INT) AS month, {r('sum(y) / (SELECT sum(y) FROM units)', 'share')} FROM units GROUP BY 1",
     "weekday_share": f"SELECT CAST((isodow(day) - 1 + 2) % 7 + 1 AS INT) AS wday, {r('sum(units) / (SELECT sum(units) FROM ship)', 'share')} FROM ship GROUP BY 1",
@@ -268,7 +268,7 @@ BODY: dict[str, str] = {
     "late_starters": "SELECT series_id, min(date) AS first_sale FROM units WHERE y > 0 GROUP BY 1 HAVING min(date) - (SELECT min(date) FROM units) > 182",
     "zero_shares": f"""SELECT {rs('all_weeks', 'open_weeks', 'year_1', 'year_2', 'mean_nonzero', 'median_nonzero', 'q25', 'q50', 'q75')}, silent, n_series FROM
   (SELECT avg(zr) AS all_weeks, avg(CASE WHEN NOT closed THEN zr END) AS open_weeks, avg(CASE WHEN early THEN zr END) AS year_1, avg(CASE WHEN NOT early THEN zr END) AS year_2, avg(CASE WHEN y > 0 THEN y END) AS mean_nonzero, median(CASE WHEN y > 0 THEN y END) AS median_nonzero FROM zc),
-  (SELECT quantile_cont(sh, 0.25) AS q25, quantile_cont(sh, 0.5) AS q50, quantile_cont(sh, 0.75) AS q75, count_if(late <= 0) AS silent, count(*) AS n_series FROM
+  (SELECT quantile_cont(sh, 0.25) AS q25, quantile_cont(sh, 0.5) AS q50, quantile_cont(sh, 0.75) AS q75, CAST(count_if(late <= 0) AS BIGINT) AS silent, count(*) AS n_series FROM
     (SELECT series_id, avg(CASE WHEN NOT closed THEN zr END) AS sh, max(CASE WHEN date > (SELECT max(date) FROM units) - 91 THEN y END) AS late FROM zc GROUP BY 1))""",
     "bulk_orders": f"""SELECT c.series_id, c.date, {r('c.y')}, {r('l.m', 'largest_line')}, l.n AS n_lines, {r('l.m / c.y', 'largest_share')}, {r('c.y / t.typical', 'x_typical')} FROM (SELECT * FROM units ORDER BY y DESC, series_id, date LIMIT 12) c
   LEFT JOIN (SELECT series_id, week, max(units) AS m, count(*) AS n FROM lines GROUP BY 1, 2) l ON l.series_id = c.series_id AND l.week = c.date
@@ -299,7 +299,7 @@ BODY: dict[str, str] = {
     "close_summary": f"SELECT {rs('all_close', 'any_close')}, n FROM ({CLOSE_SUMMARY})",
     "leadtime_blocks": f"SELECT model, fold, series_id, block, {rs('p50', 'y')} FROM blocks",
     "leadtime_comparison": f"SELECT x.a, x.b, {', '.join(r(f'{c}_{n}') for n in ('day', 'lead') for c in ('pooled', 'diff', 'of_mae', 'within', 'defined'))} FROM {_side('pairs', 'fold, series_id', 'day')} x JOIN {_side(BLOCK_PAIRS, 'series_id', 'lead')} y ON x.a = y.a AND x.b = y.b",
-    "divergence_headline": f"SELECT h.n_pairs, h.n_over, {rs('h.r_min', 'h.r_max', 'c.all_close', 'c.any_close')}, c.n FROM (SELECT count(*) AS n_pairs, count_if(pearson_pooled > 0.95) AS n_over, min(pearson_pooled) AS r_min, max(pearson_pooled) AS r_max FROM ({CORR})) h, ({CLOSE_SUMMARY}) c",
+    "divergence_headline": f"SELECT h.n_pairs, h.n_over, {rs('h.r_min', 'h.r_max', 'c.all_close', 'c.any_close')}, c.n FROM (SELECT count(*) AS n_pairs, CAST(count_if(pearson_pooled > 0.95) AS BIGINT) AS n_over, min(pearson_pooled) AS r_min, max(pearson_pooled) AS r_max FROM ({CORR})) h, ({CLOSE_SUMMARY}) c",
     "representative_series": "SELECT bucket, series_id FROM (SELECT intermittency AS bucket, v.series_id, row_number() OVER (PARTITION BY intermittency ORDER BY m, v.series_id) AS rn, count(*) OVER (PARTITION BY intermittency) AS n FROM (SELECT series_id, avg(y) AS m FROM cache WHERE fold = 1 AND model = 'MovingAverage' GROUP BY 1) v JOIN buckets b ON b.fold = 1 AND b.series_id = v.series_id) WHERE rn = n // 2 + 1",
     "interval_evaluation": f"""SELECT x.model, {rs('native', 'calibrated', 'native_width', 'calibrated_width', 'lead_time', 'below', 'above', 'covered_by_s')} FROM
   (SELECT model, avg(CASE WHEN y BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END) AS native, avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS calibrated, avg(CASE WHEN whole THEN p90 - p10 END) AS native_width, avg(CASE WHEN whole THEN hi - lo END) AS calibrated_width FROM
