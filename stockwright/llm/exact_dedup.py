@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, row_key
 
 SHA256: Callable[[Column], Column] = lambda text: F.unhex(F.sha2(text, 256))
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
@@ -109,11 +109,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    key = free_name("digest_", docs.columns)
-    kept = assign(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("_stays_id"), F.col("digest").alias("_stays_digest"))
-    keyed = docs.withColumn(key, SHA256(F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_stays_id")) & (F.col(key) == F.col("_stays_digest")), "left_semi")
-    return out.dropDuplicates([id_col, key]).drop(key)
+    key = free_name("row_key_", docs.columns)
+    kept = assign(docs, id_col, text_col, keep).where("kept").select(row_key(F.hex("digest"), F.col("doc_id")).alias(key))
+    keyed = docs.withColumn(key, row_key(F.hex(SHA256(F.coalesce(F.col(text_col), F.lit("")))), F.col(id_col)))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, free_name, n_words, ranks
+from .common import Scratch, free_name, n_words, ranks, row_key
 
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
@@ -81,12 +81,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself: rows of docs, each as often as it is taken, with all
     columns. Rows equal in doc_id, source and text are one document that is
     taken as often as they are together."""
-    key, times = free_name("text_key_", docs.columns), free_name("copies_", docs.columns)
+    key, times = free_name("row_key_", docs.columns), free_name("copies_", docs.columns)
     taken = plan(docs, id_col, text_col, source_col, seed).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_t_id"), F.col("source").alias("_t_source"), F.col("text_key").alias("_t_key")).agg(F.sum("copies").alias(times))
-    keyed = docs.withColumn(key, F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_t_id")) & F.col(source_col).eqNullSafe(F.col("_t_source")) & (F.col(key) == F.col("_t_key"))
-    once = keyed.join(taken, same).drop("_t_id", "_t_source", "_t_key").dropDuplicates([id_col, source_col, key])
+    taken = taken.groupBy(row_key(F.col("text_key"), F.col("doc_id"), F.col("source")).alias(key)).agg(F.sum("copies").alias(times))
+    keyed = docs.withColumn(key, row_key(F.xxhash64(text_col), F.col(id_col), F.col(source_col)))
+    once = keyed.join(taken, key).dropDuplicates([key])
     again = free_name("copy_", [*docs.columns, key, times])
     return once.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, row_key
 from .components import components
 
 MAX_DISTANCE = 4
@@ -212,10 +212,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the smallest doc_id stays, with all columns of docs (null doc_ids stay only
     where a component has no other; of rows that share that doc_id one text
     stays). Rows that repeat the same doc_id and text count once."""
-    key = free_name("text_key_", docs.columns)
+    key = free_name("row_key_", docs.columns)
     near = near_duplicates(docs, id_col, text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "text_key")).alias("s")
-    stays = near.groupBy("component_key").agg(first).select(F.col("s.doc_id").alias("_stays_id"), F.col("s.text_key").alias("_stays_key"))
-    keyed = docs.withColumn(key, F.xxhash64(text_col))
-    out = keyed.join(stays, F.col(id_col).eqNullSafe(F.col("_stays_id")) & (F.col(key) == F.col("_stays_key")), "left_semi")
-    return out.dropDuplicates([id_col, key]).drop(key)
+    stays = near.groupBy("component_key").agg(first).select(row_key(F.col("s.text_key"), F.col("s.doc_id")).alias(key))
+    keyed = docs.withColumn(key, row_key(F.xxhash64(text_col), F.col(id_col)))
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
