@@ -27,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -259,11 +259,21 @@ def extract(source: str, path: str | None) -> str:
 VOTES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("votes", T.LongType())]))
 
 
+#: Pages whose results are Python objects at a time.
+SOME = 256
+
+
+def _in_parts(n: int, make: Callable[[int, int], list], kind: pa.DataType) -> pa.Array:
+    """An Arrow array of n results, made some rows at a time."""
+    parts = [pa.array(make(at, min(n, at + SOME)), kind) for at in range(0, n, SOME)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def votes_column(source: Column) -> Column:
     @F.arrow_udf(VOTES)
     def vote(pages: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("path", pa.string()), ("votes", pa.int64())]))
-        return pa.array([[{"path": p, "votes": v} for p, v in votes_of(x.as_py())] for x in pages], kind)
+        return _in_parts(len(pages), lambda a, b: [[{"path": p, "votes": v} for p, v in votes_of(pages[i].as_py())] for i in range(a, b)], kind)
 
     return vote(F.coalesce(source, F.lit("")))
 
@@ -271,7 +281,7 @@ def votes_column(source: Column) -> Column:
 def extract_column(source: Column, path: Column) -> Column:
     @F.arrow_udf(T.StringType())
     def texts(pages: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([extract(x.as_py(), p) for x, p in zip(pages, paths.to_pylist(), strict=True)], pa.string())
+        return _in_parts(len(pages), lambda a, b: [extract(pages[i].as_py(), paths[i].as_py()) for i in range(a, b)], pa.string())
 
     return texts(F.coalesce(source, F.lit("")), path)
 
