@@ -339,6 +339,10 @@ BODY: dict[str, str] = {
     "implied_ordering_cost": f"SELECT model, lot_multiple, {r('median(k)', 'median_k')}, count(k) AS n FROM (SELECT model, lot_multiple, (qty / nullif(orders, 0)) * (qty / nullif(orders, 0)) * {d(RATE)} * (unit_price * {d(1 - MARGIN)}) / nullif(2 * (demanded / {G.horizon}), 0) AS k FROM det) GROUP BY 1, 2",
     "sweep_curve": f"SELECT target_id, lot_multiple, model, {rs('total_cost', 'holding_cost', 'stockout_cost', 'csl', 'fill')} FROM curve",
     "sweep_optimum": f"SELECT lot_multiple, target_id, {r('c', 'total_cost')}, target_id = lo OR target_id = hi AS on_edge FROM (SELECT lot_multiple, target_id, c, min(target_id) OVER (PARTITION BY lot_multiple) AS lo, max(target_id) OVER (PARTITION BY lot_multiple) AS hi, row_number() OVER (PARTITION BY lot_multiple ORDER BY c, target_id) AS rn FROM (SELECT lot_multiple, target_id, avg(total_cost) AS c FROM curve GROUP BY 1, 2)) WHERE rn = 1",
+    "sweep_nominal": "SELECT lot_multiple, min(CASE WHEN csl >= 0.9 THEN target_id END) AS target_id FROM (SELECT lot_multiple, target_id, avg(csl) AS csl FROM curve GROUP BY 1, 2) GROUP BY 1",
+    "sweep_flat_from": "SELECT lot_multiple, min(CASE WHEN c <= 1.02::DOUBLE * least_c THEN target_id END) AS target_id FROM (SELECT *, min(c) OVER (PARTITION BY lot_multiple) AS least_c FROM (SELECT lot_multiple, target_id, avg(total_cost) AS c FROM curve GROUP BY 1, 2)) GROUP BY 1",
+    "choose_multiple": f"""SELECT lot_multiple, {r('cost')}, {r('base - cost', 'saving')} FROM (SELECT *, max(CASE WHEN lot_multiple = 0 THEN cost END) OVER () AS base, row_number() OVER (ORDER BY cost, lot_multiple) AS rn FROM
+  (SELECT lot_multiple, avg(c) AS cost FROM (SELECT lot_multiple, model, avg(c) AS c FROM (SELECT lot_multiple, model, fold, sum(total_cost) AS c FROM det GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)) WHERE rn = 1""",
     "sweep_walk_forward": f"""SELECT p.lot_multiple, p.fold, p.target_id, {r('p.c', 'cost')}, {r('f.c', 'base_cost')} FROM
   (SELECT *, row_number() OVER (PARTITION BY lot_multiple, fold ORDER BY past, target_id) AS rn FROM (SELECT *, avg(c) OVER (PARTITION BY lot_multiple, target_id ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM fc) WHERE past IS NOT NULL) p
   LEFT JOIN fc f ON f.lot_multiple = p.lot_multiple AND f.fold = p.fold AND f.target_id = {target_id(LEVEL)} WHERE rn = 1""",

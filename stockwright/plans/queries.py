@@ -507,6 +507,21 @@ def sweep_optimum(b: Base) -> DataFrame:
     return sweep.optimum(sweep.pooled(sweep.curves(b.swept)))
 
 
+@query
+def sweep_nominal(b: Base) -> DataFrame:
+    return sweep.nominal_for(sweep.pooled(sweep.curves(b.swept)), 0.9)
+
+
+@query
+def sweep_flat_from(b: Base) -> DataFrame:
+    return sweep.flat_from(sweep.pooled(sweep.curves(b.swept)))
+
+
+@query
+def choose_multiple(b: Base) -> DataFrame:
+    return findings.choose_multiple(simulate.pooled(b.detail))
+
+
 @query
 def sweep_walk_forward(b: Base) -> DataFrame:
     return sweep.walk_forward(sweep.fold_curve(b.swept), sweep.target_id(LEVEL))
