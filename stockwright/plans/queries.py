@@ -33,20 +33,33 @@ def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
     return df.select(*[(F.round(f.name, places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
 
+def register(name: str, f: Callable[[Base], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(f(Base(spark, sf_dir)))
+
+
 def query(f: Callable[[Base], DataFrame]) -> Callable[[Base], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Base(spark, sf_dir)))
+    register(f.__name__, f)
+    return f
+
+
+def mixed(f: Callable[[Base], DataFrame], name: str | None = None) -> Callable[[Base], DataFrame]:
+    """A query on the mixed panel: under its own name with the part series that
+    its SQL reads, and as <name>_all_parts with one series for every part."""
+    name = name or f.__name__
+    register(name, f)
+    QUERIES[f"{name}_all_parts"] = lambda spark, sf_dir: rounded(f(Base(spark, sf_dir, all_parts=True)))
     return f
 
 
 class Base:
     """Tables that queries share; each is planned once per query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, all_parts: bool = False):
+        self.spark, self.dir, self.all_parts = spark, sf_dir, all_parts
 
     @cached_property
     def lines(self) -> DataFrame:
-        return tables.series_lines(self.spark, self.dir)
+        return tables.series_lines(self.spark, self.dir, all_parts=self.all_parts)
 
     @cached_property
     def dense_lines(self) -> DataFrame:
@@ -186,62 +199,62 @@ def folds_weekly(b: Base) -> DataFrame:
     return b.folds
 
 
-@query
+@mixed
 def insample_scales(b: Base) -> DataFrame:
     return b.scales
 
 
-@query
+@mixed
 def revenue_weights(b: Base) -> DataFrame:
     return folds.revenue_weights(b.train, WEEKLY)
 
 
-@query
+@mixed
 def zero_rates(b: Base) -> DataFrame:
     return b.stats
 
 
-@query
+@mixed
 def unit_prices(b: Base) -> DataFrame:
     return b.prices
 
 
-@query
+@mixed
 def hashed_sample(b: Base) -> DataFrame:
     return folds.sample_hashed(b.units, 40).select("series_id").distinct()
 
 
-@query
+@mixed
 def selected_series(b: Base) -> DataFrame:
     return panel.active_series(b.units)
 
 
-@query
+@mixed
 def zero_shares(b: Base) -> DataFrame:
     return panel.zero_shares(b.units)
 
 
-@query
+@mixed
 def bulk_orders(b: Base) -> DataFrame:
     return panel.bulk_weeks(b.units, b.lines)
 
 
-@query
+@mixed
 def bulk_concentration(b: Base) -> DataFrame:
     return panel.concentration(b.units, b.lines, 45.0)
 
 
-@query
+@mixed
 def selection_effect(b: Base) -> DataFrame:
     return panel.selection_effect(b.units, 26)
 
 
-@query
+@mixed
 def closed_weeks(b: Base) -> DataFrame:
     return panel.closed_weeks(b.units)
 
 
-@query
+@mixed
 def monthly_share(b: Base) -> DataFrame:
     return panel.monthly_share(b.units)
 
@@ -256,7 +269,7 @@ def price_corr(b: Base) -> DataFrame:
     return panel.price_correlation(b.dense)
 
 
-@query
+@mixed
 def late_starters(b: Base) -> DataFrame:
     return panel.late_starters(b.units)
 
@@ -275,77 +288,77 @@ def _of_model(name: str) -> Callable[[Base], DataFrame]:
 
 
 for _name, _model in (("seasonal_naive", "SeasonalNaive"), ("moving_average", "MovingAverage"), ("croston", "CrostonClassic"), ("croston_sba", "CrostonSBA"), ("tsb", "TSB")):
-    QUERIES[f"forecast_{_name}"] = lambda spark, sf_dir, f=_of_model(_model): rounded(f(Base(spark, sf_dir)))
+    mixed(_of_model(_model), f"forecast_{_name}")
 
 
-@query
+@mixed
 def forecast_trailing_mean(b: Base) -> DataFrame:
     return registry.served(b.units, LEAD, WEEKLY)
 
 
-@query
+@mixed
 def backtest_accuracy(b: Base) -> DataFrame:
     return metrics.accuracy(b.cache, b.scales, folds.revenue_weights(b.train, WEEKLY))
 
 
-@query
+@mixed
 def backtest_summary(b: Base) -> DataFrame:
     return metrics.summary(metrics.accuracy(b.cache, b.scales, folds.revenue_weights(b.train, WEEKLY)))
 
 
-@query
+@mixed
 def dept_winners(b: Base) -> DataFrame:
     groups = b.units.select("series_id", F.when(F.col("series_id").contains("|"), F.substring_index("series_id", "|", -1)).otherwise(F.lit("parts")).alias("dept_id")).distinct()
     return metrics.winners(metrics.per_series(b.cache, b.scales), groups)
 
 
-@query
+@mixed
 def bucket_accuracy(b: Base) -> DataFrame:
     return metrics.by_bucket(metrics.per_series(b.cache, b.scales), b.stats)
 
 
-@query
+@mixed
 def pairwise_correlation(b: Base) -> DataFrame:
     return metrics.correlations(b.cache)
 
 
-@query
+@mixed
 def mean_abs_diff(b: Base) -> DataFrame:
     return metrics.mean_abs_differences(b.cache)
 
 
-@query
+@mixed
 def close_fractions(b: Base) -> DataFrame:
     return metrics.close_fractions(b.cache)
 
 
-@query
+@mixed
 def close_summary(b: Base) -> DataFrame:
     return metrics.close_summary(b.cache)
 
 
-@query
+@mixed
 def leadtime_blocks(b: Base) -> DataFrame:
     return metrics.lead_time_blocks(b.cache, LEAD)
 
 
-@query
+@mixed
 def leadtime_comparison(b: Base) -> DataFrame:
     return metrics.lead_time_comparison(b.cache, LEAD)
 
 
-@query
+@mixed
 def divergence_headline(b: Base) -> DataFrame:
     return metrics.headline(b.cache)
 
 
-@query
+@mixed
 def representative_series(b: Base) -> DataFrame:
     kinds = b.stats.where("fold = 1").select("series_id", metrics.bucket(F.col("zero_rate")).alias("bucket"))
     return metrics.representative(kinds, b.cache.where("model = 'MovingAverage'"))
 
 
-@query
+@mixed
 def interval_evaluation(b: Base) -> DataFrame:
     return metrics.interval_evaluation(b.cache, b.sigma, LEAD, Z90)
 
@@ -353,17 +366,17 @@ def interval_evaluation(b: Base) -> DataFrame:
 # ------------------------------------------------- safety stock and decisions
 
 
-@query
+@mixed
 def leadtime_residuals(b: Base) -> DataFrame:
     return b.residuals
 
 
-@query
+@mixed
 def leadtime_stats(b: Base) -> DataFrame:
     return b.lead_stats
 
 
-@query
+@mixed
 def bucket_sigma(b: Base) -> DataFrame:
     return b.sigma
 
@@ -372,37 +385,37 @@ def _buckets(b: Base, granularity: str) -> DataFrame:
     return decision.assign_buckets(b.stats, granularity)
 
 
-@query
+@mixed
 def volume_quintiles(b: Base) -> DataFrame:
     return _buckets(b, "volume_quintile").select("fold", "series_id", "bucket")
 
 
-@query
+@mixed
 def volume_terciles(b: Base) -> DataFrame:
     return _buckets(b, "volume_tercile_within_intermittency").select("fold", "series_id", "bucket")
 
 
-@query
+@mixed
 def safety_stock_normal(b: Base) -> DataFrame:
     return decision.bucket_safety_stock(b.residuals, _buckets(b, "intermittency"), LEVEL)
 
 
-@query
+@mixed
 def safety_stock_empirical(b: Base) -> DataFrame:
     return decision.series_safety_stock(b.residuals, _buckets(b, "volume_quintile"), LEVEL, "empirical")
 
 
-@query
+@mixed
 def within_bucket_dispersion(b: Base) -> DataFrame:
     return decision.within_bucket(decision.residual_spread(b.residuals), _buckets(b, "volume_quintile").where("fold = 1"))
 
 
-@query
+@mixed
 def buffer_diagnostics(b: Base) -> DataFrame:
     return findings.buffer_diagnostics(b.residuals, _buckets(b, "intermittency"))
 
 
-@query
+@mixed
 def reorder_decisions(b: Base) -> DataFrame:
     on_hand = F.pmod(F.length("series_id") + F.ascii("series_id") + F.col("fold"), F.lit(3)) * 0.5 * F.col("mean")
     stats = b.lead_stats.withColumn("on_hand", F.round(on_hand, PLACES))
@@ -410,38 +423,38 @@ def reorder_decisions(b: Base) -> DataFrame:
     return decision.decide(stats, LEVEL, LEAD, buffers, 2.0, ("fold", "model", "series_id"), "weeks").drop("rationale")
 
 
-@query
+@mixed
 def fill_rate_policy(b: Base) -> DataFrame:
     stats = b.lead_means.drop("std").join(b.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
     return decision.fill_rate_policy(stats, LEVEL)
 
 
-@query
+@mixed
 def simulate_ss(b: Base) -> DataFrame:
     return b.detail.where("lot_multiple = 0").select("fold", "model", "series_id", "reorder_point", "order_up_to", "on_hand_start", *simulate.TOTALS)
 
 
-@query
+@mixed
 def simulate_order_up_to(b: Base) -> DataFrame:
     return b.detail.where("lot_multiple = 2").select("fold", "model", "series_id", "reorder_point", "order_up_to", "on_hand_start", *simulate.TOTALS, "holding_cost", "stockout_cost", "total_cost", "fill_rate")
 
 
-@query
+@mixed
 def policy_summary(b: Base) -> DataFrame:
     return simulate.pooled(b.detail)
 
 
-@query
+@mixed
 def q_stats(b: Base) -> DataFrame:
     return simulate.order_stats(b.detail)
 
 
-@query
+@mixed
 def stockout_decomposition(b: Base) -> DataFrame:
     return simulate.decomposition(b.detail)
 
 
-@query
+@mixed
 def fill_by_volume_decile(b: Base) -> DataFrame:
     from ..functions.mathx import cut_rank
 
@@ -454,7 +467,7 @@ def fill_by_volume_decile(b: Base) -> DataFrame:
 # --------------------------------------------------------- economics, sweeps
 
 
-@query
+@mixed
 def reprice_grid(b: Base) -> DataFrame:
     rows = None
     for rate, margin in ((0.1, 0.2), (0.25, 0.5), (1.0, None)):
@@ -467,67 +480,67 @@ def _parts(b: Base) -> DataFrame:
     return economics.with_rate(economics.components(b.detail), WEEKLY)
 
 
-@query
+@mixed
 def cost_components(b: Base) -> DataFrame:
     return _parts(b)
 
 
-@query
+@mixed
 def breakeven(b: Base) -> DataFrame:
     return economics.breakevens(_parts(b))
 
 
-@query
+@mixed
 def cost_curve(b: Base) -> DataFrame:
     return economics.curve(_parts(b), [0.05, 0.25, 1.0]).select("lot_multiple", "model", "rate", "cost")
 
 
-@query
+@mixed
 def critical_ratio(b: Base) -> DataFrame:
     return economics.critical_ratio(b.detail, WEEKLY, ("model", "lot_multiple"))
 
 
-@query
+@mixed
 def cycle_length(b: Base) -> DataFrame:
     return economics.cycle_length(b.detail, ("model", "lot_multiple"))
 
 
-@query
+@mixed
 def implied_ordering_cost(b: Base) -> DataFrame:
     return economics.implied_ordering_cost(b.detail, WEEKLY)
 
 
-@query
+@mixed
 def sweep_curve(b: Base) -> DataFrame:
     return sweep.curves(b.swept)
 
 
-@query
+@mixed
 def sweep_optimum(b: Base) -> DataFrame:
     return sweep.optimum(sweep.pooled(sweep.curves(b.swept)))
 
 
-@query
+@mixed
 def sweep_nominal(b: Base) -> DataFrame:
     return sweep.nominal_for(sweep.pooled(sweep.curves(b.swept)), 0.9)
 
 
-@query
+@mixed
 def sweep_flat_from(b: Base) -> DataFrame:
     return sweep.flat_from(sweep.pooled(sweep.curves(b.swept)))
 
 
-@query
+@mixed
 def choose_multiple(b: Base) -> DataFrame:
     return findings.choose_multiple(simulate.pooled(b.detail))
 
 
-@query
+@mixed
 def sweep_walk_forward(b: Base) -> DataFrame:
     return sweep.walk_forward(sweep.fold_curve(b.swept), sweep.target_id(LEVEL))
 
 
-@query
+@mixed
 def cost_ranking(b: Base) -> DataFrame:
     return findings.ranking(simulate.pooled(b.detail))
 
@@ -604,19 +617,19 @@ def input_drift(b: Base) -> DataFrame:
 # --------------------------------------------------- rows-only (seeded draws)
 
 
-@query
+@mixed
 def bootstrap_cost_diff(b: Base) -> DataFrame:
     d = b.detail.where("model = 'MovingAverage'").select("series_id", "fold", "lot_multiple", "total_cost").persist()
     return bootstrap.difference(d.where("lot_multiple = 2"), d.where("lot_multiple = 0"), "total_cost")
 
 
-@query
+@mixed
 def bootstrap_fill_diff(b: Base) -> DataFrame:
     d = b.detail.where("model = 'MovingAverage'").select("series_id", "fold", "lot_multiple", "shipped", "demanded").persist()
     return bootstrap.ratio_difference(d.where("lot_multiple = 2"), d.where("lot_multiple = 0"), "shipped", "demanded")
 
 
-@query
+@mixed
 def bootstrap_safety_stock(b: Base) -> DataFrame:
     r = b.residuals.join(_buckets(b, "intermittency").select("fold", "series_id", "bucket"), ["fold", "series_id"])
     from ..functions.mathx import z
@@ -624,7 +637,7 @@ def bootstrap_safety_stock(b: Base) -> DataFrame:
     return bootstrap.statistic(r, ["fold", "model", "bucket"], LEVEL, z=z(LEVEL), draws=500)
 
 
-@query
+@mixed
 def served_reorder(b: Base) -> DataFrame:
     c = serve.fit_calibration(b.units, LEAD, LEVEL, WEEKLY)
     return serve.reorder(b.units, c, LEAD, WEEKLY)

@@ -31,14 +31,19 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def series_lines(spark: SparkSession, sf_dir: str, mixed: bool = True) -> DataFrame:
+def series_lines(spark: SparkSession, sf_dir: str, mixed: bool = True, all_parts: bool = False) -> DataFrame:
     """(series_id, week, units, unit_price): one series per brand and type, and
-    if ``mixed`` one per part with a key below 150, most of whose weeks are empty."""
+    if ``mixed`` one per part, most of whose weeks are empty: per part with a key
+    below 150, as the SQL has it, or with ``all_parts`` per part of the table."""
     s = shipments(spark, sf_dir)
     dense = s.select(F.concat_ws("|", "brand", "type").alias("series_id"), "week", "units", "unit_price")
     if not mixed:
         return dense
-    sparse = s.where("l_partkey < 150").select(F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 5, "0")).alias("series_id"), "week", "units", "unit_price")
+    if not all_parts:
+        s = s.where("l_partkey < 150")
+    key = F.col("l_partkey").cast("string")
+    key = F.when(F.length(key) < 5, F.lpad(key, 5, "0")).otherwise(key)  # lpad alone would cut longer keys
+    sparse = s.select(F.concat(F.lit("P"), key).alias("series_id"), "week", "units", "unit_price")
     return dense.unionByName(sparse)
 
 
