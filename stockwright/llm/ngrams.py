@@ -75,6 +75,16 @@ def count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return target, raw
 
 
+def count_sides(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all rows of (_id, text binary) whose _id is among those of
+    ``trusted``, and over all rows. Texts are exchanged once, for the join,
+    which is the same at every size: ids are never broadcast."""
+    held = docs.where(F.col("_id").isNotNull()).join(trusted.where(F.col("_id").isNotNull()).hint("merge"), "_id", "left_semi")
+    sides = docs.select("text", F.lit(False).alias("trusted")).unionByName(held.select("text", F.lit(True).alias("trusted")))
+    target, both = count(sides)
+    return target, both - target
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Log of the ratio of the two multinomials, as whole multiples of
     1 / SCALE. Raw counts are brought to the trusted total, and both get ``PSEUDO``

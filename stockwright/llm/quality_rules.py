@@ -7,9 +7,8 @@ document whose score is at least ``THRESHOLD`` passes, so the same corpus gives
 same verdicts anywhere: log ratios are rounded to multiples of 2^-20 once, and
 sums of integers don't depend on their order.
 
-The raw counts cover all rows. The trusted rows may be bounded: the
-``MAX_TRUSTED`` labelled ids of smallest hash are looked up in the corpus by a
-broadcast of at most that many ids.
+Both counts cover all their rows, at every size: labels and documents meet in an
+ordinary join on the id.
 
 Base rules come first: fewer than 10 words, or more than 20 % of the words in
 5-word windows that occur twice or more, fail.
@@ -35,7 +34,6 @@ MAX_REPEAT = 20  # per cent of words
 #: Least mean log ratio of an n-gram. Text like the trusted one is near zero
 #: whatever its language; other kinds of text lose about a nat per n-gram.
 THRESHOLD = -0.2
-MAX_TRUSTED = 20_000
 
 RESULT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -44,17 +42,11 @@ RESULT = T.StructType(
 )
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``most`` ids of trusted documents, those of smallest hash."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("_trusted_id"), "_trusted_id").limit(most)
-
-
-def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRUSTED) -> np.ndarray:
+def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The log ratios of all buckets."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(trusted_ids(labels, most)), F.col("_id") == F.col("_trusted_id"), "left")
-    return ngrams.log_ratio(*ngrams.count(rows.select("text", F.col("_trusted_id").isNotNull().alias("trusted"))))
+    target, raw = ngrams.count_sides(rows, labels.where("quality = 1").select(F.col("doc_id").alias("_id")))
+    return ngrams.log_ratio(target, raw)
 
 
 def judge(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> tuple:
