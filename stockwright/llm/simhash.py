@@ -49,18 +49,23 @@ LEVELS = 3
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one UTF-8 text."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of one UTF-8 text, in order."""
     import xxhash
 
     found = (text or b"").lower().split()  # bytes: only A-Z and ASCII white space count
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(found))
     line, digest = memoryview(b" ".join(found)), xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one UTF-8 text."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -207,13 +212,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "component_key", "text_key")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with
     the smallest doc_id stays, with all columns of docs (null doc_ids stay only
     where a component has no other; of rows that share that doc_id one text
-    stays). Rows that repeat the same doc_id and text count once."""
+    stays). Rows that repeat the same doc_id and text count once. With a
+    ``threshold`` texts link by the Jaccard similarity of their shingles
+    (``jaccard.alike``), else by fingerprints of four-word shingles."""
     key = free_name("row_key_", docs.columns)
-    near = near_duplicates(docs, id_col, text_col)
+    if threshold is None:
+        near = near_duplicates(docs, id_col, text_col)
+    else:
+        from .jaccard import alike
+
+        near = alike(docs, id_col, text_col, shingle, threshold).withColumn("fingerprint", F.lit(""))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "text_key")).alias("s")
     stays = near.groupBy("component_key").agg(first).select(row_key(F.col("s.text_key"), F.col("s.doc_id")).alias(key))
     keyed = docs.withColumn(key, row_key(F.xxhash64(text_col), F.col(id_col)))

@@ -14,3 +14,25 @@ def test_every_trusted_document_counts(spark):
     labels = labels.unionByName(labels.limit(3)).unionByName(spark.createDataFrame([(None, 1), (n, 0), (n + 1, None)], "doc_id long, quality int"))
     target, raw = n * ngrams.counts(b"abcd"), (n + 1) * ngrams.counts(b"abcd") + 1000 * ngrams.counts(b"wxyz")
     assert np.array_equal(quality_rules.weights(docs, labels), ngrams.log_ratio(target, raw))
+
+
+def test_pipeline_links_all_texts_of_jaccard_four_fifths(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(500)}" for _ in range(120)]
+        rows.append((i, " ".join(words)))
+        for j in (1, 2):  # one or two words changed, places apart: 5 or 10 shingles of 116
+            for k in range(j):
+                words[20 + 40 * k] = f"x{rng.randrange(500)}"
+            rows.append((1000 * j + i, " ".join(words)))
+        far = words[:]
+        far[::6] = ["y"] * len(far[::6])
+        rows.append((9000 + i, " ".join(far)))
+    rows += [(20000, None), (20001, "")]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(r.doc_id for r in kept) == [*range(60), *range(9000, 9060), 20000]
