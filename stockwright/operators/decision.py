@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentiles, ranks
 from ..functions.mathx import Z90, cut_rank, norm_cdf, ratio, standard_loss, z
 from .metrics import bucket
 
@@ -49,38 +50,44 @@ def assign_buckets(stats: DataFrame, granularity: str, keys: tuple[str, ...] = (
     """stats (keys, series_id, zero_rate, volume) with a column bucket. Volume
     cuts rank all series of a fold, ties by series_id; one series alone is in
     the middle part."""
-    from pyspark.sql.window import Window
-
     if granularity not in GRANULARITIES:
-        raise ValueError(f"granularity must be one of {GRANULARITIES}, got {granularity!r}")
+        raise ValueError(f"no granularity {granularity!r}; there are {', '.join(GRANULARITIES)}")
     kind = bucket(F.col("zero_rate"))
     if granularity == "intermittency":
         return stats.withColumn("bucket", kind)
     parts, names = (5, ["q1", "q2", "q3", "q4", "q5"]) if granularity == "volume_quintile" else (3, ["lo", "mid", "hi"])
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("volume", "series_id"))
+    n, rank = F.col("_n"), F.col("_rank")
+    placed = ranks(stats, keys, [F.col("volume"), F.col("series_id")], "_rank", "_n")
     part = F.when(n > 1, cut_rank(rank, n, parts)).otherwise(parts // 2 + 1)
     label = F.element_at(F.array(*[F.lit(x) for x in names]), part)
-    return stats.withColumn("bucket", label if parts == 5 else F.concat(kind, F.lit("_"), label))
+    return placed.withColumn("bucket", label if parts == 5 else F.concat(kind, F.lit("_"), label)).drop("_rank", "_n")
 
 
 def _buffer(level: float, form: str) -> Column:
     if form not in FORMS:
-        raise ValueError(f"form must be one of {FORMS}, got {form!r}")
-    return F.lit(z(level)) * F.stddev_samp("residual") if form == "normal" else F.percentile("residual", F.lit(level))
+        raise ValueError(f"no form {form!r}; there are {', '.join(FORMS)}")
+    return F.lit(z(level)) * F.stddev_samp("residual") if form == "normal" else F.lit(None).cast("double")
+
+
+def _with_quantile(table: DataFrame, rows: DataFrame, keys: list[str], level: float, form: str, name: str) -> DataFrame:
+    """The empirical buffer, an exact quantile that no task gathers."""
+    if form == "normal":
+        return table
+    return table.drop(name).join(percentiles(rows, keys, "residual", {name: level}), keys, "left")
 
 
 def bucket_safety_stock(residuals: DataFrame, buckets: DataFrame, level: float, form: str = "normal") -> DataFrame:
     """(fold, model, bucket, n, std, safety_stock)."""
     r = residuals.join(buckets.select("fold", "series_id", "bucket"), ["fold", "series_id"])
-    return r.groupBy("fold", "model", "bucket").agg(F.count("residual").alias("n"), F.stddev_samp("residual").alias("std"), _buffer(level, form).alias("safety_stock"))
+    table = r.groupBy("fold", "model", "bucket").agg(F.count("residual").alias("n"), F.stddev_samp("residual").alias("std"), _buffer(level, form).alias("safety_stock"))
+    return _with_quantile(table, r, ["fold", "model", "bucket"], level, form, "safety_stock")
 
 
 def series_safety_stock(residuals: DataFrame, buckets: DataFrame, level: float, form: str = "normal") -> DataFrame:
     """(fold, model, series_id, bucket, safety_stock): the bucket's buffer, the
     pooled one where the bucket has none."""
     table = bucket_safety_stock(residuals, buckets, level, form).select("fold", "model", "bucket", "safety_stock")
-    every = residuals.groupBy("fold", "model").agg(_buffer(level, form).alias("every"))
+    every = _with_quantile(residuals.groupBy("fold", "model").agg(_buffer(level, form).alias("every")), residuals, ["fold", "model"], level, form, "every")
     r = residuals.join(buckets.select("fold", "series_id", "bucket"), ["fold", "series_id"])
     out = r.join(table, ["fold", "model", "bucket"], "left").join(every, ["fold", "model"], "left")
     return out.select("fold", "model", "series_id", "bucket", F.coalesce("safety_stock", "every").alias("safety_stock"))
@@ -94,8 +101,8 @@ def residual_spread(residuals: DataFrame) -> DataFrame:
 def within_bucket(spread: DataFrame, buckets: DataFrame) -> DataFrame:
     """(model, bucket, n, p10, median, p90, max, p90_over_p10)."""
     s = spread.join(buckets.select("series_id", "bucket"), "series_id").where("std IS NOT NULL")
-    q = lambda p: F.percentile("std", F.lit(p))
-    g = s.groupBy("model", "bucket").agg(F.count(F.lit(1)).alias("n"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.max("std").alias("max"))
+    g = s.groupBy("model", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("std").alias("max"))
+    g = g.join(percentiles(s, ["model", "bucket"], "std", {"p10": 0.1, "median": 0.5, "p90": 0.9}), ["model", "bucket"]).select("model", "bucket", "n", "p10", "median", "p90", "max")
     return g.withColumn("p90_over_p10", ratio(F.col("p90"), F.col("p10")))
 
 

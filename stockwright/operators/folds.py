@@ -16,7 +16,7 @@ def last_day(panel: DataFrame) -> date:
     return panel.agg(F.max("date")).first()[0]
 
 
-def folds(spark: SparkSession, end: date, grain: Grain) -> DataFrame:
+def fold_rows(end: date, grain: Grain) -> list[tuple[int, date, date, date]]:
     """(fold, train_end, test_start, test_end): blocks of a horizon that end at
     ``end``, none overlapping, training on everything before."""
     rows = []
@@ -24,7 +24,12 @@ def folds(spark: SparkSession, end: date, grain: Grain) -> DataFrame:
         test_end = grain.before(end, grain.horizon * (grain.n_folds - fold))
         start = grain.before(test_end, grain.horizon - 1)
         rows.append((fold, grain.before(start, 1), start, test_end))
-    return spark.createDataFrame(rows, "fold int, train_end date, test_start date, test_end date")
+    return rows
+
+
+def folds(spark: SparkSession, end: date, grain: Grain) -> DataFrame:
+    """``fold_rows`` as a table."""
+    return spark.createDataFrame(fold_rows(end, grain), "fold int, train_end date, test_start date, test_end date")
 
 
 def training(panel: DataFrame, folds_: DataFrame) -> DataFrame:

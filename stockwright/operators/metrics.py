@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.mathx import average_rank, corr, ratio
+from ..functions.mathx import corr, ratio
+from ..functions.ranks import average_ranks, ranks
+from ..sources.scratch import Scratch
 
 FLAT = 1e-12
 CLOSE = 0.05
@@ -93,17 +95,21 @@ def correlations(cache: DataFrame) -> DataFrame:
     """Per pair of models: Pearson and Spearman pooled and between series means,
     Pearson of demeaned forecasts, and the mean of per-series correlations with
     the share of series where it is defined."""
+    cache = Scratch(cache.sparkSession, "pairs").keep(cache.select("model", "fold", "series_id", "date", "p50", "y"), "cache")
     p = pairs(cache, ["fold", "series_id", "date"])
 
-    def w(c: str) -> Column:
-        # values that differ by rounding alone are ties
-        near = F.round(c, 9)
-        return average_rank(Window.partitionBy("a", "b").orderBy(near), Window.partitionBy("a", "b", near))
+    def ranked(rows: DataFrame) -> DataFrame:
+        """With the average ranks of both sides among a pair's rows."""
+        out = rows
+        for side in "ab":
+            # values that differ by rounding alone are ties
+            out = out.withColumn(f"v{side}_", F.round(f"v{side}", 9))
+            out = out.join(average_ranks(out.select("a", "b", f"v{side}_"), ["a", "b"], f"v{side}_", f"r{side}"), ["a", "b", f"v{side}_"])
+        return out
 
-    ranked = p.withColumn("ra", w("va")).withColumn("rb", w("vb"))
-    pooled = ranked.groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias("pearson_pooled"), corr(F.col("ra"), F.col("rb")).alias("spearman_pooled"))
+    pooled = ranked(p).groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias("pearson_pooled"), corr(F.col("ra"), F.col("rb")).alias("spearman_pooled"))
     level = p.groupBy("a", "b", "fold", "series_id").agg(F.avg("va").alias("va"), F.avg("vb").alias("vb"))
-    level_r = level.withColumn("ra", w("va")).withColumn("rb", w("vb")).groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias("pearson_level"), corr(F.col("ra"), F.col("rb")).alias("spearman_level"))
+    level_r = ranked(level).groupBy("a", "b").agg(corr(F.col("va"), F.col("vb")).alias("pearson_level"), corr(F.col("ra"), F.col("rb")).alias("spearman_level"))
     per = _moving_corr(p, ["fold", "series_id"]).groupBy("a", "b").agg(F.avg("r").alias("mean_series"), F.avg(F.col("r").isNotNull().cast("double")).alias("defined"))
     return pooled.join(level_r, ["a", "b"]).join(per, ["a", "b"])
 
@@ -164,7 +170,7 @@ def headline(cache: DataFrame, least: float = 0.95) -> DataFrame:
 def representative(series: DataFrame, cache: DataFrame) -> DataFrame:
     """(bucket, series_id): the series in the middle by volume of each bucket."""
     vol = cache.where("fold = 1").groupBy("series_id").agg(F.avg("y").alias("v")).join(series, "series_id")
-    ranked = vol.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("v", "series_id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    ranked = ranks(vol, ["bucket"], [F.col("v"), F.col("series_id")], "r", "n")
     return ranked.where("r = floor(n / 2) + 1").select("bucket", "series_id")
 
 

@@ -1,77 +1,75 @@
-"""Models that are column expressions over the array of training values."""
+"""Models that step all series of a batch at once.
+
+A model takes the training values of some series as one matrix (series by
+period, no gaps, one length) and gives their points (series by step). Work is
+one NumPy operation per period, whatever the number of series.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
 
 ALPHA = 0.1
 
-#: (training values, horizon, grain, shared columns) -> array of p50 by step
-Point = Callable[..., Column]
+Model = Callable[..., np.ndarray]
 
 
-def _flat(value: Column, horizon: int) -> Column:
-    return F.array_repeat(F.greatest(value, F.lit(0.0)), horizon)
+def _flat(value: np.ndarray, horizon: int) -> np.ndarray:
+    return np.repeat(np.maximum(value, 0.0)[:, None], horizon, axis=1)
 
 
-def seasonal_naive(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
+def seasonal_naive(y: np.ndarray, horizon: int, grain) -> np.ndarray:
     """The last full season again; the last value where there is no season."""
-    n, s = F.size(y), grain.naive_season
-    steps = [F.greatest(F.coalesce(F.get(y, F.when(n >= s, n - s + h % s).otherwise(n - 1)), F.lit(0.0)), F.lit(0.0)) for h in range(horizon)]
-    return F.array(*steps)
+    n, s = y.shape[1], grain.naive_season
+    at = n - s + np.arange(horizon) % s if n >= s else np.full(horizon, n - 1)
+    return np.maximum(y[:, at], 0.0)
 
 
-def moving_average(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
+def moving_average(y: np.ndarray, horizon: int, grain) -> np.ndarray:
     """Mean of the last window, flat; also the served trailing mean."""
-    k = F.least(F.size(y), F.lit(grain.ma_window))
-    last = F.slice(y, F.size(y) - k + 1, k)
-    mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / k
-    return _flat(mean, horizon)
-
-
-def _croston(y: Column) -> Column:
-    """Smoothed size and interval of non-zero demand (Croston, 1972)."""
-    start = F.struct(F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("gap"), F.lit(0.0).alias("since"))
+    last = y[:, -grain.ma_window :]
+    total = np.zeros(len(y))
+    for t in range(last.shape[1]):
+        total = total + last[:, t]
+    return _flat(total / last.shape[1], horizon)
 
-    def step(a: Column, x: Column) -> Column:
-        since, sold = a["since"] + 1.0, x > 0
-        size = F.when(sold, F.coalesce(a["size"] + ALPHA * (x - a["size"]), x)).otherwise(a["size"])
-        gap = F.when(sold, F.coalesce(a["gap"] + ALPHA * (since - a["gap"]), since)).otherwise(a["gap"])
-        return F.struct(size.alias("size"), gap.alias("gap"), F.when(sold, F.lit(0.0)).otherwise(since).alias("since"))
 
-    return F.aggregate(y, start, step, lambda a: F.coalesce(a["size"] / a["gap"], F.lit(0.0)))
+def _croston(y: np.ndarray) -> np.ndarray:
+    """Smoothed size over smoothed interval of non-zero demand (Croston, 1972)."""
+    size, gap, since = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y))
+    for t in range(y.shape[1]):
+        x = y[:, t]
+        since = since + 1.0
+        sold, new = x > 0, np.isnan(size)
+        size = np.where(sold, np.where(new, x, size + ALPHA * (x - size)), size)
+        gap = np.where(sold, np.where(new, since, gap + ALPHA * (since - gap)), gap)
+        since = np.where(sold, 0.0, since)
+    return np.where(np.isnan(size), 0.0, size / gap)
 
 
-def croston_classic(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
-    return _flat((shared or {}).get("croston", _croston(y)), horizon)
+def croston_classic(y: np.ndarray, horizon: int, grain) -> np.ndarray:
+    return _flat(_croston(y), horizon)
 
 
-def croston_sba(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
+def croston_sba(y: np.ndarray, horizon: int, grain) -> np.ndarray:
     """Croston without its bias (Syntetos and Boylan, 2005)."""
-    return _flat((shared or {}).get("croston", _croston(y)) * (1 - ALPHA / 2), horizon)
+    return _flat(_croston(y) * (1 - ALPHA / 2), horizon)
 
 
-def tsb(y: Column, horizon: int, grain, shared: dict[str, Column] | None = None) -> Column:
+def tsb(y: np.ndarray, horizon: int, grain) -> np.ndarray:
     """Smoothed probability times smoothed size (Teunter et al., 2011)."""
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("p"), none.alias("size"))
-
-    def step(a: Column, x: Column) -> Column:
-        sold = F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        p = F.coalesce(a["p"] + ALPHA * (sold - a["p"]), sold)
-        size = F.when(x > 0, F.coalesce(a["size"] + ALPHA * (x - a["size"]), x)).otherwise(a["size"])
-        return F.struct(p.alias("p"), size.alias("size"))
-
-    return _flat(F.aggregate(y, start, step, lambda a: F.coalesce(a["p"] * a["size"], F.lit(0.0))), horizon)
-
+    p, size = (y[:, 0] > 0).astype(float), np.where(y[:, 0] > 0, y[:, 0], np.nan)
+    for t in range(1, y.shape[1]):
+        x = y[:, t]
+        sold = x > 0
+        p = p + ALPHA * (sold - p)
+        size = np.where(sold, np.where(np.isnan(size), x, size + ALPHA * (x - size)), size)
+    return _flat(np.where(np.isnan(size), 0.0, p * size), horizon)
 
-#: Columns that several models read, computed once a row where any does.
-SHARED: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {"croston": (("CrostonClassic", "CrostonSBA"), _croston)}
 
-NATIVE: dict[str, Point] = {
+NATIVE: dict[str, Model] = {
     "SeasonalNaive": seasonal_naive,
     "MovingAverage": moving_average,
     "CrostonClassic": croston_classic,

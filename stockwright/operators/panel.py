@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.mathx import corr
+from ..functions.ranks import ranks
 
 OUTLIER = 10.0
 
@@ -24,12 +25,18 @@ def weekly_units(lines: DataFrame) -> DataFrame:
     return spine(lines).join(sold, ["series_id", "date"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
 
 
+def near_median(lines: DataFrame, outlier: float = OUTLIER) -> DataFrame:
+    """lines with near: the line price, null beyond ``outlier`` times the
+    series' median either way."""
+    middle = lines.groupBy("series_id").agg(F.median("unit_price").alias("middle"))
+    x = F.col("unit_price") / F.nullif("middle", F.lit(0.0))
+    return lines.join(middle, "series_id").withColumn("near", F.when(x.between(1 / outlier, outlier), F.col("unit_price"))).drop("middle")
+
+
 def unit_values(lines: DataFrame, outlier: float = OUTLIER) -> DataFrame:
     """(series_id, date, price): median line price of the week, without lines
     beyond ``outlier`` times the series' median either way."""
-    middle = lines.groupBy("series_id").agg(F.median("unit_price").alias("middle"))
-    near = lines.join(middle, "series_id").withColumn("x", F.col("unit_price") / F.nullif("middle", F.lit(0.0))).where(f"x <= {outlier} AND x >= {1 / outlier}")
-    return near.groupBy("series_id", F.col("week").alias("date")).agg(F.median("unit_price").alias("price"))
+    return near_median(lines, outlier).groupBy("series_id", F.col("week").alias("date")).agg(F.median("near").alias("price"))
 
 
 def carry(panel: DataFrame, column: str = "price") -> DataFrame:
@@ -88,13 +95,9 @@ def concentration(panel: DataFrame, lines: DataFrame, large: float = 1000.0) ->
     """One row: share of units in the top 1 % of non-empty cells and in lines
     of at least ``large`` units."""
     sold = panel.where("y > 0")
-    n = sold.agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct value is ordered, not one per cell
-    steps = sold.groupBy("y").agg(F.count(F.lit(1)).alias("c")).withColumn("part", F.lit(0))
-    above = Window.partitionBy("part").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = steps.withColumn("before", F.coalesce(F.sum("c").over(above), F.lit(0))).join(F.broadcast(n))
-    take = F.greatest(F.lit(0), F.least(F.col("c"), F.greatest(F.lit(1), F.floor(F.col("n") / 100)) - F.col("before")))
-    cells = placed.agg((F.sum(F.col("y") * take) / F.sum(F.col("y") * F.col("c"))).alias("top_1pct_share"))
+    placed = ranks(sold.select("y"), [], [F.desc("y")], "place", "n")
+    top = F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / 100))
+    cells = placed.agg((F.sum(F.when(top, F.col("y"))) / F.sum("y")).alias("top_1pct_share"))
     of_lines = lines.agg((F.sum(F.when(F.col("units") >= large, F.col("units")).otherwise(0.0)) / F.sum("units")).alias("large_line_share"))
     return cells.join(F.broadcast(of_lines))
 

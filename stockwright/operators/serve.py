@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.mathx import Z90, z
 from ..grain import Grain
 from . import decision
+from .models import registry
 from .models.registry import arrays, served
 
 MODEL = "TrailingMean"
@@ -75,20 +78,25 @@ class Calibration:
         return Calibration(t.drop("model", "lead", "level", "granularity"), *m)
 
 
-def fit_calibration(panel: DataFrame, lead: int, level: float, grain: Grain, model: str = "MovingAverage") -> Calibration:
+def fit_calibration(panel: DataFrame, lead: int, level: float, grain: Grain, model: str = "MovingAverage", arrays_: DataFrame | None = None) -> Calibration:
     """Forecast the last lead time from everything before it; its residuals."""
-    p = _hold_out(arrays(panel), model, lead, grain)
+    p = _hold_out(arrays(panel) if arrays_ is None else arrays_, model, lead, grain)
     return Calibration(p, MODEL, lead, level)
 
 
 def _hold_out(a: DataFrame, model: str, lead: int, grain: Grain) -> DataFrame:
-    from .models.native import NATIVE
-
-    n = F.size("ys") - lead
-    t = a.where(F.size("ys") > lead).withColumn("train", F.slice("ys", 1, n)).withColumn("test", F.slice("ys", n + 1, lead))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
-    zero = total(F.transform("train", lambda y: (y == 0).cast("double"))) / n
-    return t.select("series_id", (total("test") - total(NATIVE[model](F.col("train"), lead, grain))).alias("residual"), zero.alias("zero_rate"), (total("train") / n).alias("volume"))
+    @F.arrow_udf("residual double, zero_rate double, volume double")
+    def measure(ys: pa.Array) -> pa.Array:
+        size = pa.compute.list_value_length(ys).to_numpy(zero_copy_only=False)
+        flat, at, out = ys.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size, np.zeros((3, len(size)))
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            y = flat[at[rows][:, None] + np.arange(n)]
+            train, test = y[:, :-lead], y[:, -lead:]
+            out[:, rows] = test.sum(axis=1) - registry.LOCAL[model](train, lead, grain).sum(axis=1), (train == 0).mean(axis=1), train.mean(axis=1)
+        return pa.StructArray.from_arrays([pa.array(c) for c in out], ["residual", "zero_rate", "volume"])
+
+    return a.where(F.size("ys") > lead).select("series_id", measure("ys").alias("m")).select("series_id", "m.*")
 
 
 def validate(panel: DataFrame, ids: list[str]) -> None:

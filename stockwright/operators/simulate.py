@@ -1,4 +1,4 @@
-"""The (s, S) lost-sales simulator, as one fold over a demand array.
+"""The (s, S) lost-sales simulator, stepping all rows of a batch at once.
 
 Per period, in this order: a due order arrives and closes its cycle; demand is
 met from stock, the rest is lost; costs are booked; an order up to S is placed if
@@ -11,77 +11,75 @@ order and arrival exceeds s, an *undershoot* otherwise.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import ratio
 from ..grain import Grain
 from .economics import Costs
-from .models.registry import parallel
 
 #: Decimals of s, S and the start: both engines of a check must see equal ones.
 PLACES = 6
 
 
-def _d(x: float) -> Column:
-    return F.lit(float(x))
+COUNTS = ("cycles", "stockouts", "sizing", "orders", "small")
+AMOUNTS = ("shipped", "demanded", "lost", "stocked", "qty", "qty_sq")
+
+
+def steps(demand: np.ndarray, s: np.ndarray, up_to: np.ndarray, start: np.ndarray, lead: int) -> dict[str, np.ndarray]:
+    """Totals of policies over rows of demand: all rows take a period at once."""
+    n = len(demand)
+    stock, coming, exposure = start.astype(float), np.zeros(n), np.zeros(n)
+    due, short = np.full(n, -1), np.zeros(n, bool)
+    out = {c: np.zeros(n, np.int32) for c in COUNTS} | {c: np.zeros(n) for c in AMOUNTS}
+    for t in range(demand.shape[1]):
+        d = demand[:, t]
+        arrives = due == t
+        waiting = ~arrives & (due >= 0)
+        stock = stock + np.where(arrives, coming, 0.0)
+        failed = arrives & short
+        out["cycles"] += arrives
+        out["stockouts"] += failed
+        out["sizing"] += failed & (exposure > s + 1e-9)
+        sold = np.minimum(stock, d)
+        lost, stock = d - sold, stock - sold
+        places = ~waiting & (stock < s) & (up_to - stock > 0)
+        q = np.where(places, up_to - stock, 0.0)
+        for c, x in (("shipped", sold), ("demanded", d), ("lost", lost), ("stocked", stock), ("qty", q), ("qty_sq", q * q)):
+            out[c] += x
+        out["orders"] += places
+        out["small"] += places & (q < 1)
+        short = waiting & (short | (lost > 0))
+        exposure = np.where(waiting, exposure + d, 0.0)
+        due = np.where(places, t + lead, np.where(waiting, due, -1))
+        coming = np.where(places, q, np.where(waiting, coming, 0.0))
+    return out
 
 
-def _n(x: int) -> Column:
-    return F.lit(x).cast("int")
+def run(demand: Column, s: Column, up_to: Column, start: Column, lead: int) -> Column:
+    """Struct of totals of a policy over an array of demand, whole Arrow batches
+    at a time."""
+    kinds = [(c, pa.int32()) for c in COUNTS] + [(c, pa.float64()) for c in AMOUNTS]
 
+    @F.arrow_udf(", ".join([f"{c} int" for c in COUNTS] + [f"{c} double" for c in AMOUNTS]))
+    def simulate(ds: pa.Array, s_: pa.Array, u_: pa.Array, h_: pa.Array) -> pa.Array:
+        size = pa.compute.list_value_length(ds).to_numpy(zero_copy_only=False)
+        flat, at = ds.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+        args = [x.to_numpy(zero_copy_only=False) for x in (s_, u_, h_)]
+        out = {c: np.zeros(len(ds), np.int32 if kind == pa.int32() else float) for c, kind in kinds}
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            found = steps(flat[at[rows][:, None] + np.arange(n)], *[x[rows] for x in args], lead)
+            for c, x in found.items():
+                out[c][rows] = x
+        return pa.StructArray.from_arrays([pa.array(out[c], kind) for c, kind in kinds], [c for c, _ in kinds])
+
+    return simulate(demand, s, up_to, start)
 
-def run(demand: Column, s: Column, up_to: Column, start: Column, lead: int) -> Column:
-    """Struct of totals of a policy over an array of demand."""
-    begin = F.struct(
-        start.alias("stock"), _n(0).alias("t"), _n(-1).alias("due"), _d(0).alias("coming"), F.lit(False).alias("short"), _d(0).alias("exposure"),
-        _n(0).alias("cycles"), _n(0).alias("stockouts"), _n(0).alias("sizing"), _n(0).alias("orders"), _n(0).alias("small"),
-        _d(0).alias("shipped"), _d(0).alias("demanded"), _d(0).alias("lost"), _d(0).alias("stocked"), _d(0).alias("qty"), _d(0).alias("qty_sq"),
-    )
 
-    def step(a: Column, d: Column) -> Column:
-        # an inner one-element transform binds intermediate values once
-        first = F.struct((a["due"] == a["t"]).alias("arrives"), a.alias("a"), d.alias("d"))
-
-        def demand_step(b: Column) -> Column:
-            c = b["a"]
-            stock = c["stock"] + F.when(b["arrives"], c["coming"]).otherwise(_d(0))
-            waiting = ~b["arrives"] & (c["due"] >= 0)
-            sold = F.least(stock, b["d"])
-            exposure = F.when(c["due"] >= 0, c["exposure"]).otherwise(_d(0))
-            closes = b["arrives"].cast("int")
-            failed = closes * c["short"].cast("int")
-            oversize = failed * (exposure > s + 1e-9).cast("int")
-            lost = b["d"] - sold
-            return F.struct(
-                c.alias("a"), b["d"].alias("d"), (stock - sold).alias("left"), sold.alias("sold"), lost.alias("lost"), waiting.alias("waiting"),
-                (waiting & (c["short"] | (lost > 0))).alias("short"), F.when(waiting, exposure + b["d"]).otherwise(_d(0)).alias("exposure"),
-                closes.alias("closes"), failed.alias("failed"), oversize.alias("oversize"),
-            )
-
-        def order_step(b: Column) -> Column:
-            places = ~b["waiting"] & (b["left"] < s) & (up_to - b["left"] > 0)
-            return F.struct(b.alias("b"), places.alias("places"), F.when(places, up_to - b["left"]).otherwise(_d(0)).alias("q"))
-
-        def total(x: Column) -> Column:
-            b, c = x["b"], x["b"]["a"]
-            places = x["places"]
-            due = F.when(places, c["t"] + lead).when(b["waiting"], c["due"]).otherwise(_n(-1))
-            return F.struct(
-                b["left"].alias("stock"), (c["t"] + 1).alias("t"), due.alias("due"), F.when(places, x["q"]).when(b["waiting"], c["coming"]).otherwise(_d(0)).alias("coming"),
-                F.when(places, F.lit(False)).otherwise(b["short"]).alias("short"), F.when(places, _d(0)).otherwise(b["exposure"]).alias("exposure"),
-                (c["cycles"] + b["closes"]).alias("cycles"), (c["stockouts"] + b["failed"]).alias("stockouts"), (c["sizing"] + b["oversize"]).alias("sizing"),
-                (c["orders"] + places.cast("int")).alias("orders"), (c["small"] + (places & (x["q"] < 1)).cast("int")).alias("small"),
-                (c["shipped"] + b["sold"]).alias("shipped"), (c["demanded"] + b["d"]).alias("demanded"), (c["lost"] + b["lost"]).alias("lost"), (c["stocked"] + b["left"]).alias("stocked"),
-                (c["qty"] + x["q"]).alias("qty"), (c["qty_sq"] + x["q"] * x["q"]).alias("qty_sq"),
-            )
-
-        return F.transform(F.transform(F.transform(F.array(first), demand_step), order_step), total)[0]
-
-    return F.aggregate(demand, begin, step)
-
-
-TOTALS = ("cycles", "stockouts", "sizing", "orders", "small", "shipped", "demanded", "lost", "stocked", "qty", "qty_sq")
+TOTALS = (*COUNTS, *AMOUNTS)
 
 
 def demands(arrays_: DataFrame, folds_: DataFrame, grain: Grain) -> DataFrame:
@@ -102,8 +100,6 @@ def detail(policies: DataFrame, demand: DataFrame, prices: DataFrame, lead: int,
     p = p.withColumn("lot_multiple", F.explode(F.array(*[F.lit(float(m)) for m in lots])))
     lot = F.col("lot_multiple") * F.greatest(F.col("mean"), F.lit(0.0))
     p = p.withColumn("s", F.round("reorder_point", PLACES)).withColumn("up_to", F.round(F.col("reorder_point") + lot, PLACES)).withColumn("on_hand_start", F.round(F.col("reorder_point") + start_fraction * lot, PLACES))
-    # the fold over periods is work per row: spread rows over all cores
-    p = p.repartition(parallel(p), "fold", "model", "series_id")
     p = p.withColumn("n_periods", F.size("demand")).withColumn("r", run(F.col("demand"), F.col("s"), F.col("up_to"), F.col("on_hand_start"), lead))
     return p.select("*", *[F.col(f"r.{c}").alias(c) for c in TOTALS]).drop("demand", "r", "reorder_point").withColumnRenamed("s", "reorder_point").withColumnRenamed("up_to", "order_up_to")
 

@@ -106,7 +106,7 @@ CHAIN = f"""WITH RECURSIVE
 ship AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, l_quantity AS units, l_extendedprice / nullif(l_quantity, 0) AS unit_price,
          p_brand AS brand, p_type AS type, l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey),
 dlines AS (SELECT brand || '|' || type AS series_id, week, units, unit_price FROM ship),
-lines AS (SELECT * FROM dlines UNION ALL SELECT 'P' || lpad(CAST(l_partkey AS VARCHAR), 5, '0'), week, units, unit_price FROM ship WHERE l_partkey < 150),
+lines AS (SELECT * FROM dlines UNION ALL SELECT 'P' || CASE WHEN l_partkey < 100000 THEN lpad(CAST(l_partkey AS VARCHAR), 5, '0') ELSE CAST(l_partkey AS VARCHAR) END, week, units, unit_price FROM ship),
 {_panel("d", "dlines").strip()},
 {_panel("", "lines").strip()},
 fin AS (SELECT max(CAST(date_trunc('week', l_shipdate) AS DATE)) AS e FROM lineitem),
@@ -167,7 +167,7 @@ parts AS MATERIALIZED (SELECT lot_multiple, model, avg(v) / {G.periods_per_year}
   (SELECT lot_multiple, model, fold, sum(stocked * unit_price * {d(1 - MARGIN)}) AS v, sum(stockout_cost) AS so FROM det GROUP BY 1, 2, 3) GROUP BY 1, 2),
 curve AS MATERIALIZED (SELECT target_id, lot_multiple, model, avg(total_cost) AS total_cost, avg(holding_cost) AS holding_cost, avg(stockout_cost) AS stockout_cost, avg(csl) AS csl, avg(fill) AS fill FROM
   (SELECT target_id, lot_multiple, model, fold, sum(total_cost) AS total_cost, sum(holding_cost) AS holding_cost, sum(stockout_cost) AS stockout_cost, 1 - sum(stockouts) / nullif(CAST(sum(cycles) AS DOUBLE), 0) AS csl, sum(shipped) / nullif(sum(demanded), 0) AS fill FROM swept GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
-inv AS MATERIALIZED (SELECT (CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END) || CAST(l_orderkey AS VARCHAR) AS invoice, l_linenumber AS line, lpad(CAST(l_partkey AS VARCHAR), 5, '0') AS stock_code, CAST(l_shipdate AS TIMESTAMP) AS invoice_date,
+inv AS MATERIALIZED (SELECT (CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END) || CAST(l_orderkey AS VARCHAR) AS invoice, l_linenumber AS line, lpad(CAST(l_partkey % 100000 AS VARCHAR), 5, '0') || CASE WHEN l_partkey < 100000 THEN '' WHEN l_partkey < 2700000 THEN chr(CAST(l_partkey // 100000 + 64 AS INT)) ELSE chr(CAST((l_partkey // 100000 - 1) // 26 + 64 AS INT)) || chr(CAST((l_partkey // 100000 - 1) % 26 + 65 AS INT)) END AS stock_code, CAST(l_shipdate AS TIMESTAMP) AS invoice_date,
   CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice / nullif(l_quantity, 0) AS price_gbp, CAST(o_custkey AS VARCHAR) AS customer FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 geo AS (SELECT r_name AS region, n_name AS nation, type, brand, CAST(date_trunc('year', week) AS DATE) AS date, units FROM ship JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 daily AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, sum(value) AS y FROM events GROUP BY 1, 2),
@@ -176,7 +176,7 @@ log AS MATERIALIZED (SELECT * FROM (SELECT *, lag(y) OVER (PARTITION BY series_i
 
 
 def r(x: str, name: str | None = None) -> str:
-    return f"round({x}, 6) + 0.0 AS {name or x.split('.')[-1]}"
+    return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 6) ELSE round({x}, 3) END + 0.0 AS {name or x.split('.')[-1]}"
 
 
 def rs(*names: str) -> str:

@@ -12,25 +12,33 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ..functions.mathx import Z90
+from ..functions.mathx import Z90, cut_rank, z
+from ..functions.ranks import ranks
 from ..grain import WEEKLY
 from ..operators import bootstrap, cleaning, decision, economics, exog, features, findings, folds, hierarchy, metrics, monitor, panel, serve, simulate, sweep
 from ..operators.economics import Costs
 from ..operators.models import registry
 from ..sources import tables
+from ..sources.scratch import Scratch
 
 LEVEL, LEAD = 0.95, WEEKLY.lead_time
 COSTS = Costs()
-PLACES = 6
+#: Decimals of numbers under a thousand, and of larger ones, whose last digits
+#: depend on the order of addition.
+PLACES, LARGE_PLACES = 6, 3
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     """Doubles at fixed places; minus zero is zero."""
-    return df.select(*[(F.round(f.name, places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
+
+    def fixed(name: str):
+        x = F.col(name)
+        return (F.when(F.abs(x) < 1000, F.round(x, PLACES)).otherwise(F.round(x, LARGE_PLACES)) + F.lit(0.0)).alias(name)
+
+    return df.select(*[fixed(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
 
 def register(name: str, f: Callable[[Base], DataFrame]) -> None:
@@ -42,33 +50,20 @@ def query(f: Callable[[Base], DataFrame]) -> Callable[[Base], DataFrame]:
     return f
 
 
-def mixed(f: Callable[[Base], DataFrame], name: str | None = None) -> Callable[[Base], DataFrame]:
-    """A query on the mixed panel: under its own name with the part series that
-    its SQL reads, and as <name>_all_parts with one series for every part."""
-    name = name or f.__name__
-    register(name, f)
-    QUERIES[f"{name}_all_parts"] = lambda spark, sf_dir: rounded(f(Base(spark, sf_dir, all_parts=True)))
-    return f
-
-
 class Base:
     """Tables that queries share; each is planned once per query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, all_parts: bool = False):
-        self.spark, self.dir, self.all_parts = spark, sf_dir, all_parts
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
 
     @cached_property
     def lines(self) -> DataFrame:
-        return tables.series_lines(self.spark, self.dir, all_parts=self.all_parts)
+        return tables.series_lines(self.spark, self.dir)
 
     @cached_property
     def dense_lines(self) -> DataFrame:
         return tables.series_lines(self.spark, self.dir, mixed=False)
 
-    @cached_property
-    def panel(self) -> DataFrame:
-        return panel.build(self.lines)
-
     @cached_property
     def dense(self) -> DataFrame:
         return panel.build(self.dense_lines)
@@ -87,32 +82,44 @@ class Base:
         return folds.folds(self.spark, self.end, WEEKLY)
 
     @cached_property
-    def train(self) -> DataFrame:
-        return folds.training(self.panel, self.folds)
-
-    @cached_property
-    def train_units(self) -> DataFrame:
-        return folds.training(self.units, self.folds)
+    def measures(self) -> DataFrame:
+        return registry.training_stats(self.arrays, folds.fold_rows(self.end, WEEKLY), WEEKLY.mase_lag, WEEKLY)
 
     @cached_property
     def scales(self) -> DataFrame:
-        return folds.insample_scales(self.train_units, WEEKLY.mase_lag)
+        return self.measures.select("fold", "series_id", "scale_mae", "scale_mse")
 
     @cached_property
     def stats(self) -> DataFrame:
-        return folds.train_stats(self.train_units)
+        return self.measures.select("fold", "series_id", "zero_rate", "volume")
+
+    @cached_property
+    def priced(self) -> DataFrame:
+        """Arrays with prices, written once per query."""
+        return Scratch(self.spark, "series").keep(registry.sold_arrays(self.lines, WEEKLY, True), "priced")
+
+    @cached_property
+    def price_stats(self) -> DataFrame:
+        return registry.price_stats(self.priced, folds.fold_rows(self.end, WEEKLY), WEEKLY)
+
+    @property
+    def weights(self) -> DataFrame:
+        return self.price_stats.select("fold", "series_id", "weight")
 
     @cached_property
     def prices(self) -> DataFrame:
-        return folds.unit_prices(self.train)
+        return registry.unit_prices(self.price_stats)
 
     @cached_property
     def arrays(self) -> DataFrame:
-        return registry.arrays(self.units)
+        """Written once per query: several steps read it."""
+        if "priced" in self.__dict__:
+            return self.priced.drop("prices")
+        return Scratch(self.spark, "series").keep(registry.sold_arrays(self.lines, WEEKLY), "arrays")
 
     @cached_property
     def cache(self) -> DataFrame:
-        return registry.quantiles(self.units, registry.LADDER, WEEKLY, self.end)
+        return registry.quantiles(self.units, registry.LADDER, WEEKLY, self.end, self.arrays)
 
     @cached_property
     def point_cache(self) -> DataFrame:
@@ -120,7 +127,7 @@ class Base:
         of the calibration split before the first (fold 0)."""
         first = self.folds.where("fold = 1").select(F.lit(0).alias("fold"), WEEKLY.shift(F.col("train_end"), -LEAD).alias("train_end"))
         origins = self.folds.select("fold", "train_end").unionByName(first)
-        p = registry.with_actual(self.arrays, origins, registry.LADDER, LEAD, WEEKLY)
+        p = registry.points(self.arrays, origins, registry.LADDER, LEAD, WEEKLY)
         return p.withColumnRenamed("actual", "y")
 
     @cached_property
@@ -159,13 +166,14 @@ class Base:
 
     @cached_property
     def detail(self) -> DataFrame:
-        rows = simulate.detail(self.policy, self.demand, self.prices, LEAD, (0.0, 2.0))
-        return simulate.priced(rows, COSTS, WEEKLY)
+        prices = self.prices
+        return simulate.priced(simulate.detail(self.policy, self.demand, prices, LEAD, (0.0, 2.0)), COSTS, WEEKLY)
 
     @cached_property
     def swept(self) -> DataFrame:
+        prices = self.prices
         p = sweep.policies(self.lead_means, self.sigma, sweep.targets(self.spark))
-        return simulate.priced(simulate.detail(p, self.demand, self.prices, LEAD, (0.0, 2.0)), COSTS, WEEKLY)
+        return simulate.priced(simulate.detail(p, self.demand, prices, LEAD, (0.0, 2.0)), COSTS, WEEKLY)
 
     @cached_property
     def invoices(self) -> DataFrame:
@@ -199,62 +207,62 @@ def folds_weekly(b: Base) -> DataFrame:
     return b.folds
 
 
-@mixed
+@query
 def insample_scales(b: Base) -> DataFrame:
     return b.scales
 
 
-@mixed
+@query
 def revenue_weights(b: Base) -> DataFrame:
-    return folds.revenue_weights(b.train, WEEKLY)
+    return b.weights
 
 
-@mixed
+@query
 def zero_rates(b: Base) -> DataFrame:
     return b.stats
 
 
-@mixed
+@query
 def unit_prices(b: Base) -> DataFrame:
     return b.prices
 
 
-@mixed
+@query
 def hashed_sample(b: Base) -> DataFrame:
     return folds.sample_hashed(b.units, 40).select("series_id").distinct()
 
 
-@mixed
+@query
 def selected_series(b: Base) -> DataFrame:
     return panel.active_series(b.units)
 
 
-@mixed
+@query
 def zero_shares(b: Base) -> DataFrame:
     return panel.zero_shares(b.units)
 
 
-@mixed
+@query
 def bulk_orders(b: Base) -> DataFrame:
     return panel.bulk_weeks(b.units, b.lines)
 
 
-@mixed
+@query
 def bulk_concentration(b: Base) -> DataFrame:
     return panel.concentration(b.units, b.lines, 45.0)
 
 
-@mixed
+@query
 def selection_effect(b: Base) -> DataFrame:
     return panel.selection_effect(b.units, 26)
 
 
-@mixed
+@query
 def closed_weeks(b: Base) -> DataFrame:
     return panel.closed_weeks(b.units)
 
 
-@mixed
+@query
 def monthly_share(b: Base) -> DataFrame:
     return panel.monthly_share(b.units)
 
@@ -269,7 +277,7 @@ def price_corr(b: Base) -> DataFrame:
     return panel.price_correlation(b.dense)
 
 
-@mixed
+@query
 def late_starters(b: Base) -> DataFrame:
     return panel.late_starters(b.units)
 
@@ -284,81 +292,86 @@ def future_exog(b: Base) -> DataFrame:
 
 
 def _of_model(name: str) -> Callable[[Base], DataFrame]:
-    return lambda b: registry.quantiles(b.units, [name], WEEKLY, b.end).drop("model")
+    return lambda b: registry.quantiles(b.units, [name], WEEKLY, b.end, b.arrays).drop("model")
 
 
 for _name, _model in (("seasonal_naive", "SeasonalNaive"), ("moving_average", "MovingAverage"), ("croston", "CrostonClassic"), ("croston_sba", "CrostonSBA"), ("tsb", "TSB")):
-    mixed(_of_model(_model), f"forecast_{_name}")
+    register(f"forecast_{_name}", _of_model(_model))
 
 
-@mixed
+@query
 def forecast_trailing_mean(b: Base) -> DataFrame:
-    return registry.served(b.units, LEAD, WEEKLY)
+    return registry.served(b.units, LEAD, WEEKLY, b.arrays)
+
+
+def _accuracy(b: Base) -> DataFrame:
+    weights = b.weights  # arrays with prices serve all steps
+    return metrics.accuracy(b.cache, b.scales, weights)
 
 
-@mixed
+@query
 def backtest_accuracy(b: Base) -> DataFrame:
-    return metrics.accuracy(b.cache, b.scales, folds.revenue_weights(b.train, WEEKLY))
+    return _accuracy(b)
 
 
-@mixed
+@query
 def backtest_summary(b: Base) -> DataFrame:
-    return metrics.summary(metrics.accuracy(b.cache, b.scales, folds.revenue_weights(b.train, WEEKLY)))
+    return metrics.summary(_accuracy(b))
 
 
-@mixed
+@query
 def dept_winners(b: Base) -> DataFrame:
     groups = b.units.select("series_id", F.when(F.col("series_id").contains("|"), F.substring_index("series_id", "|", -1)).otherwise(F.lit("parts")).alias("dept_id")).distinct()
     return metrics.winners(metrics.per_series(b.cache, b.scales), groups)
 
 
-@mixed
+@query
 def bucket_accuracy(b: Base) -> DataFrame:
     return metrics.by_bucket(metrics.per_series(b.cache, b.scales), b.stats)
 
 
-@mixed
+@query
 def pairwise_correlation(b: Base) -> DataFrame:
     return metrics.correlations(b.cache)
 
 
-@mixed
+@query
 def mean_abs_diff(b: Base) -> DataFrame:
     return metrics.mean_abs_differences(b.cache)
 
 
-@mixed
+@query
 def close_fractions(b: Base) -> DataFrame:
     return metrics.close_fractions(b.cache)
 
 
-@mixed
+@query
 def close_summary(b: Base) -> DataFrame:
     return metrics.close_summary(b.cache)
 
 
-@mixed
+@query
 def leadtime_blocks(b: Base) -> DataFrame:
     return metrics.lead_time_blocks(b.cache, LEAD)
 
 
-@mixed
+@query
 def leadtime_comparison(b: Base) -> DataFrame:
     return metrics.lead_time_comparison(b.cache, LEAD)
 
 
-@mixed
+@query
 def divergence_headline(b: Base) -> DataFrame:
     return metrics.headline(b.cache)
 
 
-@mixed
+@query
 def representative_series(b: Base) -> DataFrame:
     kinds = b.stats.where("fold = 1").select("series_id", metrics.bucket(F.col("zero_rate")).alias("bucket"))
     return metrics.representative(kinds, b.cache.where("model = 'MovingAverage'"))
 
 
-@mixed
+@query
 def interval_evaluation(b: Base) -> DataFrame:
     return metrics.interval_evaluation(b.cache, b.sigma, LEAD, Z90)
 
@@ -366,17 +379,17 @@ def interval_evaluation(b: Base) -> DataFrame:
 # ------------------------------------------------- safety stock and decisions
 
 
-@mixed
+@query
 def leadtime_residuals(b: Base) -> DataFrame:
     return b.residuals
 
 
-@mixed
+@query
 def leadtime_stats(b: Base) -> DataFrame:
     return b.lead_stats
 
 
-@mixed
+@query
 def bucket_sigma(b: Base) -> DataFrame:
     return b.sigma
 
@@ -385,37 +398,37 @@ def _buckets(b: Base, granularity: str) -> DataFrame:
     return decision.assign_buckets(b.stats, granularity)
 
 
-@mixed
+@query
 def volume_quintiles(b: Base) -> DataFrame:
     return _buckets(b, "volume_quintile").select("fold", "series_id", "bucket")
 
 
-@mixed
+@query
 def volume_terciles(b: Base) -> DataFrame:
     return _buckets(b, "volume_tercile_within_intermittency").select("fold", "series_id", "bucket")
 
 
-@mixed
+@query
 def safety_stock_normal(b: Base) -> DataFrame:
     return decision.bucket_safety_stock(b.residuals, _buckets(b, "intermittency"), LEVEL)
 
 
-@mixed
+@query
 def safety_stock_empirical(b: Base) -> DataFrame:
     return decision.series_safety_stock(b.residuals, _buckets(b, "volume_quintile"), LEVEL, "empirical")
 
 
-@mixed
+@query
 def within_bucket_dispersion(b: Base) -> DataFrame:
     return decision.within_bucket(decision.residual_spread(b.residuals), _buckets(b, "volume_quintile").where("fold = 1"))
 
 
-@mixed
+@query
 def buffer_diagnostics(b: Base) -> DataFrame:
     return findings.buffer_diagnostics(b.residuals, _buckets(b, "intermittency"))
 
 
-@mixed
+@query
 def reorder_decisions(b: Base) -> DataFrame:
     on_hand = F.pmod(F.length("series_id") + F.ascii("series_id") + F.col("fold"), F.lit(3)) * 0.5 * F.col("mean")
     stats = b.lead_stats.withColumn("on_hand", F.round(on_hand, PLACES))
@@ -423,43 +436,41 @@ def reorder_decisions(b: Base) -> DataFrame:
     return decision.decide(stats, LEVEL, LEAD, buffers, 2.0, ("fold", "model", "series_id"), "weeks").drop("rationale")
 
 
-@mixed
+@query
 def fill_rate_policy(b: Base) -> DataFrame:
     stats = b.lead_means.drop("std").join(b.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
     return decision.fill_rate_policy(stats, LEVEL)
 
 
-@mixed
+@query
 def simulate_ss(b: Base) -> DataFrame:
     return b.detail.where("lot_multiple = 0").select("fold", "model", "series_id", "reorder_point", "order_up_to", "on_hand_start", *simulate.TOTALS)
 
 
-@mixed
+@query
 def simulate_order_up_to(b: Base) -> DataFrame:
     return b.detail.where("lot_multiple = 2").select("fold", "model", "series_id", "reorder_point", "order_up_to", "on_hand_start", *simulate.TOTALS, "holding_cost", "stockout_cost", "total_cost", "fill_rate")
 
 
-@mixed
+@query
 def policy_summary(b: Base) -> DataFrame:
     return simulate.pooled(b.detail)
 
 
-@mixed
+@query
 def q_stats(b: Base) -> DataFrame:
     return simulate.order_stats(b.detail)
 
 
-@mixed
+@query
 def stockout_decomposition(b: Base) -> DataFrame:
     return simulate.decomposition(b.detail)
 
 
-@mixed
+@query
 def fill_by_volume_decile(b: Base) -> DataFrame:
-    from ..functions.mathx import cut_rank
-
-    w = Window.partitionBy("fold")
-    d = b.stats.withColumn("decile", cut_rank(F.row_number().over(w.orderBy("volume", "series_id")), F.count(F.lit(1)).over(w), 10))
+    placed = ranks(b.stats, ["fold"], [F.col("volume"), F.col("series_id")], "_rank", "_n")
+    d = placed.select("fold", "series_id", cut_rank(F.col("_rank"), F.col("_n"), 10).alias("decile"))
     g = b.detail.join(d, ["fold", "series_id"]).groupBy("lot_multiple", "decile").agg(F.sum("shipped").alias("s"), F.sum("demanded").alias("d"))
     return g.select("lot_multiple", "decile", (F.col("s") / F.nullif("d", F.lit(0.0))).alias("fill_rate"))
 
@@ -467,7 +478,7 @@ def fill_by_volume_decile(b: Base) -> DataFrame:
 # --------------------------------------------------------- economics, sweeps
 
 
-@mixed
+@query
 def reprice_grid(b: Base) -> DataFrame:
     rows = None
     for rate, margin in ((0.1, 0.2), (0.25, 0.5), (1.0, None)):
@@ -480,67 +491,67 @@ def _parts(b: Base) -> DataFrame:
     return economics.with_rate(economics.components(b.detail), WEEKLY)
 
 
-@mixed
+@query
 def cost_components(b: Base) -> DataFrame:
     return _parts(b)
 
 
-@mixed
+@query
 def breakeven(b: Base) -> DataFrame:
     return economics.breakevens(_parts(b))
 
 
-@mixed
+@query
 def cost_curve(b: Base) -> DataFrame:
     return economics.curve(_parts(b), [0.05, 0.25, 1.0]).select("lot_multiple", "model", "rate", "cost")
 
 
-@mixed
+@query
 def critical_ratio(b: Base) -> DataFrame:
     return economics.critical_ratio(b.detail, WEEKLY, ("model", "lot_multiple"))
 
 
-@mixed
+@query
 def cycle_length(b: Base) -> DataFrame:
     return economics.cycle_length(b.detail, ("model", "lot_multiple"))
 
 
-@mixed
+@query
 def implied_ordering_cost(b: Base) -> DataFrame:
     return economics.implied_ordering_cost(b.detail, WEEKLY)
 
 
-@mixed
+@query
 def sweep_curve(b: Base) -> DataFrame:
     return sweep.curves(b.swept)
 
 
-@mixed
+@query
 def sweep_optimum(b: Base) -> DataFrame:
     return sweep.optimum(sweep.pooled(sweep.curves(b.swept)))
 
 
-@mixed
+@query
 def sweep_nominal(b: Base) -> DataFrame:
     return sweep.nominal_for(sweep.pooled(sweep.curves(b.swept)), 0.9)
 
 
-@mixed
+@query
 def sweep_flat_from(b: Base) -> DataFrame:
     return sweep.flat_from(sweep.pooled(sweep.curves(b.swept)))
 
 
-@mixed
+@query
 def choose_multiple(b: Base) -> DataFrame:
     return findings.choose_multiple(simulate.pooled(b.detail))
 
 
-@mixed
+@query
 def sweep_walk_forward(b: Base) -> DataFrame:
     return sweep.walk_forward(sweep.fold_curve(b.swept), sweep.target_id(LEVEL))
 
 
-@mixed
+@query
 def cost_ranking(b: Base) -> DataFrame:
     return findings.ranking(simulate.pooled(b.detail))
 
@@ -617,27 +628,25 @@ def input_drift(b: Base) -> DataFrame:
 # --------------------------------------------------- rows-only (seeded draws)
 
 
-@mixed
+@query
 def bootstrap_cost_diff(b: Base) -> DataFrame:
-    d = b.detail.where("model = 'MovingAverage'").select("series_id", "fold", "lot_multiple", "total_cost").persist()
+    d = b.detail.where("model = 'MovingAverage'").select("series_id", "fold", "lot_multiple", "total_cost")
     return bootstrap.difference(d.where("lot_multiple = 2"), d.where("lot_multiple = 0"), "total_cost")
 
 
-@mixed
+@query
 def bootstrap_fill_diff(b: Base) -> DataFrame:
-    d = b.detail.where("model = 'MovingAverage'").select("series_id", "fold", "lot_multiple", "shipped", "demanded").persist()
+    d = b.detail.where("model = 'MovingAverage'").select("series_id", "fold", "lot_multiple", "shipped", "demanded")
     return bootstrap.ratio_difference(d.where("lot_multiple = 2"), d.where("lot_multiple = 0"), "shipped", "demanded")
 
 
-@mixed
+@query
 def bootstrap_safety_stock(b: Base) -> DataFrame:
     r = b.residuals.join(_buckets(b, "intermittency").select("fold", "series_id", "bucket"), ["fold", "series_id"])
-    from ..functions.mathx import z
+    return bootstrap.statistic(r, ["fold", "model", "bucket"], LEVEL, z=z(LEVEL))
 
-    return bootstrap.statistic(r, ["fold", "model", "bucket"], LEVEL, z=z(LEVEL), draws=500)
 
-
-@mixed
+@query
 def served_reorder(b: Base) -> DataFrame:
     c = serve.fit_calibration(b.units, LEAD, LEVEL, WEEKLY)
     return serve.reorder(b.units, c, LEAD, WEEKLY)

@@ -31,20 +31,25 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def series_lines(spark: SparkSession, sf_dir: str, mixed: bool = True, all_parts: bool = False) -> DataFrame:
+def series_lines(spark: SparkSession, sf_dir: str, mixed: bool = True) -> DataFrame:
     """(series_id, week, units, unit_price): one series per brand and type, and
-    if ``mixed`` one per part, most of whose weeks are empty: per part with a key
-    below 150, as the SQL has it, or with ``all_parts`` per part of the table."""
+    if ``mixed`` one per part, most of whose weeks are empty."""
     s = shipments(spark, sf_dir)
     dense = s.select(F.concat_ws("|", "brand", "type").alias("series_id"), "week", "units", "unit_price")
     if not mixed:
         return dense
-    if not all_parts:
-        s = s.where("l_partkey < 150")
     key = F.col("l_partkey").cast("string")
     key = F.when(F.length(key) < 5, F.lpad(key, 5, "0")).otherwise(key)  # lpad alone would cut longer keys
-    sparse = s.select(F.concat(F.lit("P"), key).alias("series_id"), "week", "units", "unit_price")
-    return dense.unionByName(sparse)
+    return dense.unionByName(s.select(F.concat(F.lit("P"), key).alias("series_id"), "week", "units", "unit_price"))
+
+
+def stock_code(part: Column) -> Column:
+    """A part's product code: its last five digits, and what precedes them as up
+    to two letters (A to ZZ), so that codes of different parts differ."""
+    over = F.floor(part / 100000)
+    letter = lambda n: F.char(n + 64)
+    suffix = F.when(over == 0, F.lit("")).when(over <= 26, letter(over)).otherwise(F.concat(letter(F.floor((over - 1) / 26)), letter((over - 1) % 26 + 1)))
+    return F.concat(F.lpad((part % 100000).cast("string"), 5, "0"), suffix)
 
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.concat(F.when(back, F.lit("C")).otherwise(F.lit("")), F.col("l_orderkey").cast("string")).alias("invoice"),
         F.col("l_linenumber").alias("line"),
-        F.lpad(F.col("l_partkey").cast("string"), 5, "0").alias("stock_code"),
+        stock_code(F.col("l_partkey")).alias("stock_code"),
         F.col("l_shipdate").cast("timestamp").alias("invoice_date"),
         F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"),
         (F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0))).alias("price_gbp"),

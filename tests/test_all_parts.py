@@ -25,8 +25,8 @@ def test_zero_rates_and_scales_of_every_part(spark, sold):
     d, units = sold
     q = e.queries()
     ends = {r.fold: (r.train_end - MONDAY).days // 7 for r in q["folds_weekly"](spark, d).collect()}
-    rates = {(r.fold, r.series_id): (r.zero_rate, r.volume) for r in q["zero_rates_all_parts"](spark, d).collect()}
-    scales = {(r.fold, r.series_id): r.scale_mae for r in q["insample_scales_all_parts"](spark, d).collect()}
+    rates = {(r.fold, r.series_id): (r.zero_rate, r.volume) for r in q["zero_rates"](spark, d).collect()}
+    scales = {(r.fold, r.series_id): r.scale_mae for r in q["insample_scales"](spark, d).collect()}
     from stockwright.grain import WEEKLY
 
     lag = WEEKLY.mase_lag
@@ -39,7 +39,19 @@ def test_zero_rates_and_scales_of_every_part(spark, sold):
             assert scales[fold, f"P{p:05d}"] == pytest.approx(sum(steps) / len(steps), abs=1e-6)
 
 
-def test_every_query_on_the_mixed_panel_has_its_whole_form():
-    names = set(e.queries())
-    whole = {n.removesuffix("_all_parts") for n in names if n.endswith("_all_parts")}
-    assert whole <= names and {"backtest_accuracy", "sweep_curve", "simulate_ss", "bootstrap_cost_diff", "forecast_tsb", "served_reorder"} <= whole
+def test_prices_are_carried_over_gaps(spark, sold):
+    d, units = sold
+    ends = {r.fold: (r.train_end - MONDAY).days // 7 for r in e.queries()["folds_weekly"](spark, d).collect()}
+    got = {(r.fold, r.series_id): r.weight for r in e.queries()["revenue_weights"](spark, d).collect()}
+    for p, v in units.items():  # every line costs 2 a unit
+        for fold, end in ends.items():
+            assert got[fold, f"P{p:05d}"] == pytest.approx(2 * sum(v.get(w, 0.0) for w in range(end - 12, end + 1)))
+
+
+def test_product_codes_of_large_part_keys(spark):
+    from stockwright.sources.tables import stock_code
+    from pyspark.sql import functions as F
+
+    keys = [7, 99_999, 100_000, 2_600_001, 2_700_000, 70_100_000]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(stock_code(F.col("k"))).collect()]
+    assert got == ["00007", "99999", "00000A", "00001Z", "00000AA", "00000ZY"]

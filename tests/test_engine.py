@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockwright.functions.mathx import Z90, z
-from stockwright.grain import DAILY
+from stockwright.grain import DAILY, WEEKLY
 from stockwright.operators import bootstrap, serve
 from stockwright.operators.models import registry
 from stockwright.operators.models.fitted import auto_ets, auto_theta
@@ -70,9 +70,10 @@ def test_croston_and_tsb_against_loops(spark):
 
 def test_fitted_models_follow_a_line_and_a_season():
     t = np.arange(60.0)
-    assert abs(auto_theta(10 + t, 3, 1) - (10 + np.arange(60, 63))).max() < 3
+    assert abs(auto_theta(10 + t[None, :], 3, WEEKLY) - (10 + np.arange(60, 63))).max() < 3
     season = np.tile([0.0, 5.0, 10.0, 5.0, 0.0, 20.0, 30.0], 10)
-    assert abs(auto_ets(season, 7, 7) - season[:7]).max() < 3
+    both = auto_ets(np.stack([season, 0 * season + 4.0]), 7, DAILY)
+    assert abs(both[0] - season[:7]).max() < 3 and abs(both[1] - 4.0).max() < 1e-6
     with pytest.raises(ValueError):
         registry.check(["NBEATS"])
 
