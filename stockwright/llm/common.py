@@ -1,16 +1,19 @@
-"""Helpers that several operators share: word splitting, the shared work
-folder, distributed ranks and fields read by name only."""
+"""Helpers that several operators share: word splitting, distributed ranks and
+fields read by name only."""
+
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Scratch
+
+__all__ = ["Scratch", "ascii_lower", "free_name", "n_words", "ranks", "row_key", "table", "words"]
+
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACE = "[\\x20\\x09-\\x0D]+"
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,49 +57,6 @@ def row_key(*parts: Column) -> Column:
     return F.concat(*out)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir. Only a session without that
-    setting (tests, a laptop) gets a temporary folder, once for the session.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="stockwright-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-class Scratch:
-    """Tables written under the shared folder, so that lineage ends there and
-    a lost executor costs no recomputation of earlier steps."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.root = f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-        """Write a table once and return it as read back."""
-        path = self.path(name)
-        df.write.options(**(options or {})).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that no later step reads."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def ranks(scratch: Scratch, df: DataFrame, group: str, order: Sequence[str], rank: str) -> DataFrame:
     """Rank rows from 0 within each group without gathering a group.
 

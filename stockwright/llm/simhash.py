@@ -11,8 +11,10 @@ fingerprints hardly share), and only members of one file are compared, by
 exact Hamming distance. A file returns a spanning forest of its links, never all
 pairs: at most one edge a member. A file with more than ``FILE`` members is not
 gathered: its members are filed again by the same rule on the bits they do not
-share yet. After three levels at most 12 bits are open, so a file has at most
-4,096 distinct fingerprints whatever the input, and no link is lost.
+share yet, each under 35 masks; a fingerprint is filed at most 35^3 times, which
+only overfull files on every level cause. After three levels at most 13 bits are
+open, so a file has at most 8,192 distinct fingerprints whatever the input, and
+no link is lost.
 
 Equal texts have equal fingerprints and are one vertex, so copies cost nothing
 beyond their own row.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, free_name, row_key
-from .components import components
+from .components import components, hand_out
 
 MAX_DISTANCE = 4
 BLOCKS = 7
@@ -205,10 +207,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     prints = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), fingerprint_column(F.col(text_col)).alias("print")), "prints")
     distinct = scratch.keep(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = scratch.keep(components(scratch, links(scratch, distinct.select("print"), limit, most)), "roots")
+    roots = components(scratch, links(scratch, distinct.select("print"), limit, most))
     ids = distinct.join(roots, distinct["print"] == roots["vertex"], "left").select("print", "first_id", F.coalesce("root", "print").alias("component_key"))
-    least = ids.groupBy("component_key").agg(F.min("first_id").alias("component_id"))
-    ids = scratch.keep(ids.join(least, "component_key").select("print", "component_key", "component_id"), "ids")
+    ids = scratch.keep(ids, "members")
+    least = ids.groupBy("component_key").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    ids = scratch.keep(hand_out(ids, "component_key", least, ids.count()).select("print", "component_key", "component_id"), "ids")
     return prints.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "component_key", "text_key")
 
 

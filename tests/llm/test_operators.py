@@ -139,12 +139,32 @@ def test_exact_dedup(docs, rows, none, weak, keep):
         assert exact_dedup.report(none).count() == 0
 
 
-def test_exact_dedup_index_takes_more_runs(spark, docs):
-    scratch = Scratch(spark, "test")
+def test_exact_dedup_reads_only_runs_whose_filter_hits(spark, docs):
+    digested = lambda d: d.select(exact_dedup.SHA256(F.coalesce("text", F.lit(""))).alias("digest"), "doc_id", F.monotonically_increasing_id().alias("row"))
     a, b = docs.where("doc_id < 40"), docs.where("doc_id >= 40")
-    index = exact_dedup.compact(scratch, [exact_dedup.flush(scratch, a), exact_dedup.flush(scratch, b)])
-    assert index.count() == docs.where("doc_id IS NOT NULL").select(F.coalesce("text", F.lit(""))).distinct().count()
-    assert exact_dedup.probe(index, spark.createDataFrame([(999, "a")], "doc_id long, text string")).count() == 1
+    index = exact_dedup.Index(spark, fanout=3)
+    index.add(digested(a))
+    index.add(digested(b))
+    assert [(r.number, r.level) for r in index.runs] == [(0, 0), (1, 0)]
+    batch = spark.createDataFrame([(999, "a"), (998, "nobody has this text")], "doc_id long, text string")
+    held, read = index.probe(digested(batch))
+    want = b.where("text = 'a'").agg(F.min("doc_id"), F.count(F.lit(1))).first()
+    assert read == [1] and [(r.keep_id, r.group_size) for r in held.collect()] == [tuple(want)]
+    assert index.probe(digested(batch.where("doc_id = 998")))[1] == []
+    index.add(digested(batch))  # the third run fills the level
+    assert [(r.number, r.level) for r in index.runs] == [(3, 1)]
+    texts = docs.where("doc_id IS NOT NULL").select("text").unionByName(batch.select("text")).select(F.coalesce("text", F.lit("")).alias("t"))
+    assert index.whole().count() == texts.distinct().count() and index.whole().agg(F.sum("group_size")).first()[0] == texts.count()
+    plan = index._merged(index.runs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_exact_dedup_without_a_bounded_filter(docs, monkeypatch):
+    want = sorted(map(str, exact_dedup.report(docs).collect()))
+    kept = sorted(map(str, exact_dedup.keep_one(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BOUND", 0)
+    assert sorted(map(str, exact_dedup.report(docs).collect())) == want
+    assert len(exact_dedup.keep_one(docs).collect()) == len(kept)
 
 
 # --------------------------------------------------------------------- mixing
