@@ -296,6 +296,62 @@ def test_html_extract(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ('<body><div class="a"><p>first half here</p></div><div class="b"><p>second half here</p></div></body>', "first half here\nsecond half here"),
+        ('<body><div class="post legal"><p>the article stands here in full</p></div><div class="sidebar">aside</div></body>', "the article stands here in full"),
+        ('<div class="search-tips"><p>the article stands here in full</p></div><div class="popular">other things</div>', "the article stands here in full"),
+        ('<body><div class="entry-header"><h1>My title</h1></div><div class="c"><p>' + "some text " * 60 + "</p></div></body>", "My title\n" + ("some text " * 60).strip()),
+        ('<article><p>keep <span CLASS="ad">buy</span> this</p></article>', "keep this"),
+        ('<article><p>text text text</p></article><div id="comments"><article class="c"><p>' + "I think so too " * 30 + "</p></article></div>", "text text text"),
+        ('<form id="f"><div><p>a whole page in one form</p></div></form>', "a whole page in one form"),
+        ('<div style="display: none">hidden</div><p>shown</p><p hidden>not</p>', "shown"),
+        ('<article><header><h1>T</h1><p>by me</p></header><p>x &lt; y</p></article><header><h1>Site</h1></header>', "T\nx < y"),
+        ("<p>a < b<p>c <3 d<scr", "a < b\nc <3 d"),
+    ],
+)
+def test_html_cases(source, want):
+    assert html_extract.extract(source) == want
+
+
+def test_html_is_linear_in_nesting():
+    import time
+
+    for source in ("<div>" * 100_000 + "x" + "</div>" * 100_000, "<ul><div>" + "<blockquote>" * 50_000 + "</ul>" * 50_000, '<a "' * 50_000, "<b>" * 50_000 + "<p>x</p>" * 50_000):
+        began = time.process_time()
+        html_extract.extract(source)
+        assert time.process_time() - began < 5
+
+
+def test_html_templates_against_what_made_them(spark):
+    """Generated pages: the text that went into a page must come out, whatever
+    its host's template, also from pages that do not follow it."""
+    rng = random.Random(8)
+    line = lambda n: " ".join(rng.choice(WORDS).replace(",", "").replace(".", "") for _ in range(n))
+    shapes = {
+        "a": lambda b: f"<div id=top><ul><li><a href=/>home</a></li><li><a href=/x>more</a></li></ul></div><div class='content legal'>{b}</div><div class='right'><p>the same words on all pages of this host</p></div>",
+        "b": lambda b: f"<div class='page has-sidebar'><div class=left>{b}</div><div class='sidebar'><p>{line(9)}</p></div></div><div class='site-footer'>{line(5)}</div>",
+        "c": lambda b: f"<main><div class='x{rng.randrange(99)}'>{b}</div></main><div class='cookie-notice'>{line(40)}</div>",
+        "d": lambda b: f"<table><tr><td class=menu>{line(6)}<td class=text>{b}</table>",
+    }
+    pages, want = [], {}
+    for i in range(120):
+        host = "abcd"[i % 4]
+        blocks = [line(rng.randrange(12, 40)) for _ in range(rng.randrange(3, 7))]
+        inner = "".join(f"<p>{x}" if k % 2 else f"<div><b>{x}</b></div>" for k, x in enumerate(blocks))
+        shape = shapes["abcd"[(i + 1) % 4] if i % 15 == 0 else host]  # some pages have another host's template
+        pages.append((i, f"https://www.{host}.example/{i}", f"<html><body>{shape(inner)}</body>"))
+        want[i] = "\n".join(blocks)
+    pages += [pages[5], pages[5], (500, "https://lone.example/", None), (501, None, "<p>no host")]
+    want |= {500: "", 501: "no host"}
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, host string, path int")
+    got = [(r.page_id, r.text) for r in html_extract.main_text(df.repartition(3)).collect()]
+    assert len(got) == len(pages) and {i: t for i, t in got} == want
+    decided = {r.host: r.path for r in html_extract.host_paths(df).collect()}
+    assert len(set(decided.values())) > 2
+
+
 # -------------------------------------------------------------------- tokens
 
 
