@@ -3,8 +3,8 @@
 * Rows go to a log: SHA-256 digest, doc_id, row. A load fills ``MEMTABLES``
   memtables in parallel.
 * A memtable is flushed as a run: one entry per digest (number of rows, and the
-  row that stays), sorted and bucketed by digest, with a filter, a bitmap of
-  ``BITS`` bits an entry. Entries are aggregated map-side first, so a group of
+  row that stays), sorted and bucketed by digest, with a filter, a bitmap
+  of some bits an entry. Entries are aggregated map-side first, so a group of
   copies that holds a third of all rows reaches a run as one entry a task.
 * ``FANOUT`` runs of a level are compacted into one of the next level. All runs
   share their buckets, so compaction reads bucket by bucket, without an exchange,
@@ -13,7 +13,7 @@
   digests hits is not read (``Index.probe``).
 * Hits, digests with more than one row, get a filter too. Only rows that it
   hits are joined with the hits, read for byte verification, or moved at all:
-  the others are single for sure. A filter of over ``BOUND`` bytes is not
+  the others are single for sure. A filter over its bound is not
   broadcast; then all rows take the join.
 * Byte verification compares the least and the greatest text of a digest; equal
   bytes there mean equal bytes throughout. Digests that cover different texts
@@ -35,51 +35,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, row_key
+from .common import Scratch, row_key
+from .filters import Filter, make_filter
 
 SHA256: Callable[[Column], Column] = lambda text: F.unhex(F.sha2(text, 256))
 MEMTABLES, FANOUT = 4, 4
-#: Bits of a filter for each digest in it; bits of one row of its bitmap.
-BITS, WORD = 16, 15
-#: Bytes of the largest filter that is broadcast.
-BOUND = 64 << 20
-
-
-# -------------------------------------------------------------------- filters
-
-
-@dataclass
-class Filter:
-    """A bitmap over hashed digests: (word, bits of 2^WORD places)."""
-
-    bits: DataFrame
-    power: int
-
-    @property
-    def bounded(self) -> bool:
-        return (1 << self.power) <= 8 * BOUND
-
-    def mark(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows (with a column digest) and whether the filter has each digest;
-        wrong only for digests that it does not have, and then seldom true."""
-        place = F.xxhash64("digest").bitwiseAND(F.lit((1 << self.power) - 1))
-        own = free_name("word_", [*rows.columns, "bits"])
-        bits = self.bits.select(F.col("word").alias(own), F.col("bits").alias(f"{own}bits"))
-        bits = F.broadcast(bits) if self.bounded else bits
-        out = rows.withColumn(own, F.shiftright(place, WORD)).join(bits, own, "left")
-        at = place.bitwiseAND(F.lit((1 << WORD) - 1)).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(f"{own}bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
-        return out.withColumn(name, F.coalesce(hit, F.lit(False))).drop(own, f"{own}bits")
-
-
-def make_filter(scratch: Scratch, entries: DataFrame, n: int) -> Filter:
-    """The filter of n entries' digests."""
-    power = max(WORD, (BITS * n).bit_length())
-    place = F.xxhash64("digest").bitwiseAND(F.lit((1 << power) - 1))
-    bits = entries.select(F.shiftright(place, WORD).alias("word"), place.bitwiseAND(F.lit((1 << WORD) - 1)).alias("bit"))
-    return Filter(scratch.keep(bits.groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter"), power)
-
 
 # ---------------------------------------------------------------------- index
 

@@ -1,29 +1,32 @@
 """License scans: MinHash bands over overlapping windows, then containment.
 
 Texts and templates are cut into words (lower case, runs of letters and
-digits) and shingles of five words, each hashed once. A window of a text has a
-third more shingles than the template length it is for, and windows overlap so
-that any run of that length lies whole in one of them. Windows and templates get
-MinHash signatures of ``BANDS`` bands of ``ROWS`` rows; a window that shares a
-band with a template of its length class is a candidate, and exact containment
-decides: at least 80 % of the template's distinct shingles stand in the window.
-
-Band settings: a window of 4/3 T + 1 shingles that holds 80 % of a template of
-T has a Jaccard similarity of 0.8 / (4/3 + 0.2 + 1/T) or more, which is 0.52 for
-long templates; a single-shingle template and a window of 2 have 0.5. With 40
-bands of 2 rows a match shares a band with probability 1 - (1 - 0.25)^40,
-above 0.99998.
-
-Windows without any template shingle cannot share a band (equal minima are the
-hash of a common shingle), so only windows around such shingles are built; a
-text without one costs its hashes and no more. Templates are a fixed list, so
-their bands are a bounded broadcast. Everything is DataFrame functions.
-
-Results: one row per (row of docs, template found): doc_id, license,
-containment, first_shingle (place of the best window), n_windows. Null and
-empty texts and texts under five words match nothing; repeated rows give
+digits) and shingles of five words, each hashed once. Templates are put into
+classes of length, powers of two: class C has the templates of more than C / 2
+and at most C shingles. Its windows have 2 C shingles and start at every C / 2-th
+one, so a run of 3 C / 2 shingles lies whole in one of them wherever it stands: a
+template with insertions of up to half its length does.
+
+Windows and templates get MinHash signatures of ``BANDS`` bands of one value. A
+window that shares a band with a template of its class is a candidate, and exact
+containment decides: at least 80 % of the template's distinct shingles stand in
+the window. Band settings: such a window has a Jaccard similarity of 0.8 T over
+2 C + 0.2 T or more, above 0.19 for the shortest T of a class, so it shares a
+band with probability 1 - (1 - 0.19)^64 or more, above 0.999998.
+
+Which windows must be signed follows from the bands: a window's minimum equals
+a template's only where the template's minimal shingle of that band stands in
+it. The templates' minimal shingles (``anchors``, at most ``BANDS`` a template) are a
+table, and only windows around one of them are built; all others share no band.
+Signing every window (``every``) finds the same and costs far more. Texts
+without an anchor are told by one pass that hashes each text and moves none.
+
+Everything is DataFrame functions. Results: one row per (row of docs, template
+found): doc_id, license, containment (of the best window), first_shingle (start
+of the first such window), n_windows. Null and empty texts and texts under five
+words match nothing; templates under five words neither; repeated rows give
 repeated results (rows are told apart by a row number); other columns are
-ignored.
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .filters import candidates
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 40
-ROWS = 2
+BANDS = 64
+#: Templates up to which their bands are broadcast (a row of 24 bytes a band).
+BROADCAST = 20_000
 
 # Notices as they are printed in files, from the public licence texts.
 TEMPLATES: dict[str, str] = {
@@ -72,6 +77,40 @@ TEMPLATES: dict[str, str] = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "MIT-notice": "Licensed under the MIT License.",
+    "MIT-line": "This project is licensed under the terms of the MIT license.",
+    "Apache-2.0-line": "This project is licensed under the Apache License 2.0.",
+    "Apache-2.0-terms": "distributed under the terms of the Apache License, Version 2.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-line": "Released under the GNU General Public License.",
+    "LGPL": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-line": "Licensed under the GNU Lesser General Public License.",
+    "AGPL": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "AGPL-line": "Licensed under the GNU Affero General Public License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "MPL-line": "Licensed under the Mozilla Public License, version 2.0.",
+    "BSD-line": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-line": "Licensed under the BSD 2-Clause License.",
+    "BSD-style": "Use of this source code is governed by a BSD-style license",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "ISC": "Licensed under the ISC License.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "CC0-line": "Licensed under CC0 1.0 Universal.",
+    "CC-BY-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-long": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-ND-line": "Licensed under CC BY-ND 4.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Boost-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "WTFPL": "Do What The Fuck You Want To Public License",
+    "Artistic-2.0": "Licensed under the Artistic License 2.0.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 
 
@@ -82,54 +121,59 @@ def shingle_hashes(text: Column) -> Column:
     return F.transform(F.array(words), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))[0]
 
 
-def window_length(template: int) -> int:
-    return template + -(-template // 3) if template > 1 else 2
+def _values(hashes: Column) -> Column:
+    """Array of the band values of a set of shingle hashes."""
+    return F.array(*[F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(BANDS)])
 
 
-def _bands(hashes: Column) -> Column:
-    """Array of (band, value) of a set of shingle hashes."""
+def _anchors(shingles: Column) -> Column:
+    """The shingles whose hashes are a set's band values."""
+    least = [F.array_min(F.transform(shingles, lambda h, k=k: F.struct(F.xxhash64(h, F.lit(k)).alias("v"), h.alias("h"))))["h"] for k in range(BANDS)]
+    return F.array_distinct(F.array(*least))
 
-    def least_of(k: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
 
-    least = [least_of(k) for k in range(BANDS * ROWS)]
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*least[b * ROWS : (b + 1) * ROWS]).alias("value")) for b in range(BANDS)])
+def template_table(spark: SparkSession, texts: Mapping[str, str] | DataFrame) -> DataFrame:
+    """(license, shingles, class): distinct shingle hashes of each template and
+    its class of length. Texts are a mapping or a table (license, text)."""
+    rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(texts.items()), "license string, text string")
+    hashed = rows.select("license", shingle_hashes(F.col("text")).alias("all")).where(F.size("all") > 0)
+    power = F.ceil(F.log2(F.size("all").cast("double"))).cast("int")
+    return hashed.select("license", F.array_distinct("all").alias("shingles"), F.call_function("shiftleft", F.lit(1), power).alias("class"))
 
 
-def templates(spark: SparkSession, texts: Mapping[str, str]) -> DataFrame:
-    """(license, shingles, length): distinct shingle hashes of each template."""
-    rows = spark.createDataFrame(list(texts.items()), "license string, text string")
-    hashed = rows.select("license", shingle_hashes(F.col("text")).alias("all"))
-    return hashed.where(F.size("all") > 0).select("license", F.array_distinct("all").alias("shingles"), F.size("all").alias("length"))
+def _windows(position: Column, size: Column, step: Column) -> Column:
+    """Numbers of the windows that a place lies in."""
+    first = F.greatest(F.floor((position - size + step) / step).cast("int"), F.lit(0))
+    return F.sequence(first, F.floor(position / step).cast("int"))
 
 
-def scan(docs: DataFrame, texts: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts: Mapping[str, str] | DataFrame = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """Licences found in each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
-    known = templates(spark, texts).collect()  # as long as the list of templates
-    wanted = F.array(*[F.lit(h) for h in sorted({h for t in known for h in t["shingles"]})])
-    rows = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(F.col(text_col)).alias("hashes")).where(F.arrays_overlap("hashes", wanted))
-    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "holders")
-    hits = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(wanted, h), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("hits", hits)
-
-    def starts(length: int) -> Column:
-        """Starts of the windows of one length class around the hits."""
-        size = window_length(length)
-        step = size - length + 1
-        cover = F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.floor((p - (size - 1)) / step).cast("int"), F.lit(0)), F.floor(p / step).cast("int"))))
-        return F.transform(F.array_distinct(cover), lambda n: F.struct(F.lit(length).alias("length"), (n * step).alias("start"), F.lit(size).alias("size")))
-
-    lengths = sorted({t["length"] for t in known})
-    windows = rows.select("row", "doc_id", "hashes", F.explode(F.concat(*[starts(n) for n in lengths])).alias("w"))
-    windows = windows.select("row", "doc_id", F.col("w.length").alias("length"), F.col("w.start").alias("start"), F.array_distinct(F.slice("hashes", F.col("w.start") + 1, F.col("w.size"))).alias("window")).where(F.size("window") > 0)
-    banded = spark.createDataFrame([tuple(t) for t in known], "license string, shingles array<long>, length int")
-    banded = banded.select("license", "shingles", "length", F.inline(_bands(F.col("shingles"))))
-    # BANDS rows for each template: bounded by the list of templates
-    found = windows.select("*", F.inline(_bands(F.col("window")))).join(F.broadcast(banded), ["length", "band", "value"])
+    known = scratch.keep(template_table(spark, texts), "templates")
+    small = F.broadcast if known.count() <= BROADCAST else (lambda df: df)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if every:
+        holders = scratch.keep(rows.select("doc_id", shingle_hashes(F.col("text")).alias("hashes"), F.monotonically_increasing_id().alias("row")), "holders")
+        near = holders.select("row", F.posexplode("hashes").alias("at", "shingle")).join(small(known.select("class").distinct()))
+    else:
+        anchors = scratch.keep(known.select("class", F.explode(_anchors(F.col("shingles"))).alias("shingle")).distinct(), "anchors")
+        keyed = rows.withColumn("digest", F.xxhash64("text"))
+        seen = keyed.select("digest", F.explode(shingle_hashes(F.col("text"))).alias("shingle")).join(small(anchors.select("shingle").distinct()), "shingle", "left_semi")
+        held = candidates(scratch, keyed, scratch.keep(seen.select("digest").distinct(), "seen"))
+        # a table, so that row numbers are settled
+        holders = scratch.keep(held.select("doc_id", shingle_hashes(F.col("text")).alias("hashes"), F.monotonically_increasing_id().alias("row")), "holders")
+        near = holders.select("row", F.posexplode("hashes").alias("at", "shingle")).join(small(anchors), "shingle")
+    size, step = 2 * F.col("class"), F.greatest(F.shiftright("class", 1), F.lit(1))
+    windows = near.select("row", "class", F.explode(_windows(F.col("at"), size, step)).alias("n")).distinct()
+    windows = windows.join(holders, "row").select("row", "doc_id", "class", (F.col("n") * step).alias("start"), F.array_distinct(F.slice("hashes", F.col("n") * step + 1, size)).alias("window"))
+    banded = small(known.select("license", "shingles", "class", F.posexplode(_values(F.col("shingles"))).alias("band", "value")))
+    # the window's own values once, then a row per band; what matched is compared once per template
+    signed = windows.where(F.size("window") > 0).select("*", F.posexplode(_values(F.col("window"))).alias("band", "value"))
+    found = signed.join(banded, ["class", "band", "value"]).dropDuplicates(["row", "class", "start", "license"])
     part = F.size(F.array_intersect("shingles", "window")) / F.size("shingles")
-    found = found.select("row", "doc_id", "license", "start", part.alias("containment")).where(F.col("containment") >= CONTAINMENT).distinct()
+    found = found.select("row", "doc_id", "license", "start", part.alias("containment")).where(F.col("containment") >= CONTAINMENT)
     best = F.min(F.struct((-F.col("containment")).alias("c"), "start")).alias("best")
     out = found.groupBy("row", "doc_id", "license").agg(best, F.count(F.lit(1)).alias("n_windows"))
     return out.select("doc_id", "license", (-F.col("best.c")).alias("containment"), F.col("best.start").alias("first_shingle"), "n_windows")

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+from .filters import candidates
+
 #: Length of an n-gram in bytes; four letters, or a letter or two of other scripts.
 N = 4
 BITS = 14
@@ -50,39 +53,42 @@ def score(text: bytes, weights: np.ndarray) -> tuple[int, int]:
     return total, n
 
 
-def count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all rows of (text binary, trusted boolean): of the trusted
-    rows and of all rows. A task sends one row per bucket; BUCKETS rows come to
-    the driver, whatever the input."""
+def count(docs: DataFrame, parts: int = 1) -> np.ndarray:
+    """Counts over all rows of (text binary, part int): parts by buckets. A task
+    sends one row per part and bucket; so many come to the driver, whatever the
+    input."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((parts, BUCKETS), np.int64)
         for batch in batches:
-            for text, trusted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                text = text.as_py() or b""
-                for p in _pieces(text):
-                    c = np.bincount(buckets(p), minlength=BUCKETS)
-                    raw += c
-                    if trusted:
-                        target += c
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(target[used]), pa.array(raw[used])], ["bucket", "target", "raw"])
-
-    found = docs.select("text", "trusted").mapInArrow(part, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
-    target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for b, t, r in found.collect():
-        target[b], raw[b] = t, r
-    return target, raw
+            for text, part in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for p in _pieces(text.as_py() or b""):
+                    total[part] += np.bincount(buckets(p), minlength=BUCKETS)
+        part, bucket = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[part, bucket])], ["part", "bucket", "n"])
+
+    found = docs.select("text", "part").mapInArrow(some, "part int, bucket int, n long").groupBy("part", "bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros((parts, BUCKETS), np.int64)
+    for r in found.collect():
+        out[r["part"], r["bucket"]] = r["n"]
+    return out
+
+
+def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of docs (_id, ...) whose _id is among those of ``trusted``. Only
+    rows that a bitmap of the ids lets pass are exchanged."""
+    scratch = Scratch(docs.sparkSession, "trusted")
+    ids = scratch.keep(trusted.where(F.col("_id").isNotNull()).select("_id").distinct(), "ids")
+    keyed = docs.where(F.col("_id").isNotNull()).withColumn("digest", F.xxhash64(F.col("_id")))
+    return candidates(scratch, keyed, ids.select(F.xxhash64("_id").alias("digest"))).drop("digest").join(ids, "_id", "left_semi")
 
 
 def count_sides(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts over all rows of (_id, text binary) whose _id is among those of
-    ``trusted``, and over all rows. Texts are exchanged once, for the join,
-    which is the same at every size: ids are never broadcast."""
-    held = docs.where(F.col("_id").isNotNull()).join(trusted.where(F.col("_id").isNotNull()).hint("merge"), "_id", "left_semi")
-    sides = docs.select("text", F.lit(False).alias("trusted")).unionByName(held.select("text", F.lit(True).alias("trusted")))
-    target, both = count(sides)
-    return target, both - target
+    ``trusted``, and over all rows."""
+    raw = count(docs.select("text", F.lit(0).alias("part")))
+    target = count(trusted_rows(docs.select("_id", "text"), trusted).select("text", F.lit(0).alias("part")))
+    return target[0], raw[0]
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
