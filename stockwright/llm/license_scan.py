@@ -121,15 +121,23 @@ def shingle_hashes(text: Column) -> Column:
     return F.transform(F.array(words), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))[0]
 
 
+def _least(hashes: Column, band: int) -> Column:
+    """(value, shingle) of a set of shingle hashes: its minimum in one band."""
+    return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(band)).alias("value"), h.alias("shingle"))))
+
+
 def _values(hashes: Column) -> Column:
     """Array of the band values of a set of shingle hashes."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(BANDS)])
+
+    def value(band: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+
+    return F.array(*[value(k) for k in range(BANDS)])
 
 
 def _anchors(shingles: Column) -> Column:
     """The shingles whose hashes are a set's band values."""
-    least = [F.array_min(F.transform(shingles, lambda h, k=k: F.struct(F.xxhash64(h, F.lit(k)).alias("v"), h.alias("h"))))["h"] for k in range(BANDS)]
-    return F.array_distinct(F.array(*least))
+    return F.array_distinct(F.array(*[_least(shingles, k)["shingle"] for k in range(BANDS)]))
 
 
 def template_table(spark: SparkSession, texts: Mapping[str, str] | DataFrame) -> DataFrame:
