@@ -28,7 +28,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,40 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def load(path: str) -> dict:
+    """What encoding needs of a tokenizers JSON file. Files whose rules differ
+    from those built here are refused, as their ids would be wrong."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    cut, model = file.get("pre_tokenizer") or {}, file["model"]
+    other = [
+        name
+        for name, wrong in (
+            ("normalizer", file.get("normalizer")),
+            ("pre_tokenizer", cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True)),
+            ("model", model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+            ("added_tokens", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file["added_tokens"])),
+        )
+        if wrong
+    ]
+    if other:
+        raise ValueError(f"{path}: no byte-level BPE of the plain kind ({', '.join(other)})")
+    return {"added_tokens": file["added_tokens"], "model": {k: model[k] for k in ("vocab", "merges")}}
+
+
+#: What a Python worker has built, by a digest of what it was built from. Workers
+#: serve many tasks, each of which would build it again.
+_BUILT: dict[str, object] = {}
+
+
+def built(key: str, make: Callable[[], object]):
+    """The object of a key, made once a worker."""
+    if key not in _BUILT:
+        _BUILT.clear()  # one at a time: the tables are large
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 class Bpe:
     def __init__(self, model: dict, known: int = KNOWN):
         import regex
@@ -94,6 +128,7 @@ class Bpe:
         self._plant()
         self.cut = regex.compile(PATTERN).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.marks = {w[0] for w in self.special}
         #: known strings: after a space, which is not part of the key, and others
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
@@ -293,7 +328,7 @@ class Bpe:
         for text in texts:
             part: list = []
             parts.append(part)
-            for i, some in enumerate(self.at_special(text) if self.at_special and "<" in text else [text]):
+            for i, some in enumerate(self.at_special(text) if any(c in text for c in self.marks) else [text]):
                 if i % 2:
                     part.append(self.special[some].to_bytes(4, "little"))
                 elif some:
@@ -345,13 +380,12 @@ def batches(texts: pa.Array, most: int = BATCH) -> Iterator[list[str]]:
 
 def encode_column(text: Column, path: str) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    model = {"added_tokens": model["added_tokens"], "model": {k: model["model"][k] for k in ("vocab", "merges")}}
+    model = load(path)
+    key = hashlib.sha256(json.dumps(model).encode()).hexdigest()
 
     @F.arrow_udf(RESULT)
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = Bpe(model)
+        bpe = built(f"bpe {key}", lambda: Bpe(model))
         for texts in parts:
             n, ids_sha, text_sha = [], [], []
             for some in batches(texts):

@@ -37,8 +37,9 @@ SEED = 0
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
     """(source, source_size) -> with source_no and target (double).
 
-    One row per source: the table is as small as the list of sources, and its
-    order over all sources is the only global one.
+    One row per source: the table is as small as the list of sources, whose
+    order is found in one task. That is meant for up to some millions of
+    sources of about 100 bytes; documents are never in it.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     s = sources.withColumn("source_no", F.row_number().over(by_name) - 1)

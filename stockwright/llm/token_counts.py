@@ -20,6 +20,7 @@ continue a word.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import batches, byte_alphabet
+from .bpe import batches, built, byte_alphabet
 from .inthash import IntMap
 
 KNOWN = 1_000_000
@@ -126,10 +127,11 @@ class Automaton:
 def count_column(text: Column, path: str) -> Column:
     """Struct (n_words, n_tokens) of a text column."""
     initial, rest = pieces(path)
+    key = hashlib.sha256(b"\0".join([*initial, b"", *rest])).hexdigest()
 
     @F.arrow_udf(RESULT)
     def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = Automaton(initial, rest)
+        automaton = built(f"automaton {key}", lambda: Automaton(initial, rest))
         for texts in parts:
             found = [x for some in batches(texts) for x in automaton.count([t.encode() for t in some])]
             yield pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["n_words", "n_tokens"])

@@ -219,6 +219,17 @@ def test_sharding(docs, rows, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_is_rendezvous(spark, docs):
+    """The shard of greatest weight / -ln(u), by brute force over all shards."""
+    weights = [1.0, 2.5, 1.0, 0.5]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    units = [F.xxhash64(key, F.lit(j)).alias(f"h{j}") for j in range(len(weights))]
+    for r in docs.select("doc_id", *units, sharding.shard_of(F.col("doc_id"), weights).alias("s")).collect():
+        u = [((r[f"h{j}"] % (1 << 64) >> 11) + 0.5) / (1 << 53) for j in range(len(weights))]
+        scores = [w / -math.log(x) for w, x in zip(weights, u, strict=True)]
+        assert r.s == scores.index(max(scores))
+
+
 def test_sharding_by_weight(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = {r.shard: r["count"] for r in ids.select(sharding.shard_of(F.col("doc_id"), [1.0, 3.0]).alias("shard")).groupBy("shard").count().collect()}
@@ -249,6 +260,32 @@ def test_quality_rules(docs, rows, none, labels):
     assert quality_rules.keep(docs, labels).columns == docs.columns
 
 
+def test_quality_verdicts_by_brute_force(docs, rows, labels):
+    """The log-likelihood ratio counted anew, n-gram by n-gram."""
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1}
+
+    def grams(t):
+        b = (t or "").encode()
+        return [(int.from_bytes(b[i : i + 4], "little") * 2654435761 % (1 << 32)) >> 18 for i in range(len(b) - 3)]
+
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(grams(t))
+        if i is not None and i in trusted:
+            target.update(grams(t))
+    share = sum(target.values()) / sum(raw.values())
+    want = Counter()
+    for i, t, *_ in rows:
+        g = grams(t)
+        ratio = sum(round(math.log((target[b] + 10) / (raw[b] * share + 10)) * (1 << 20)) for b in g)
+        words = (t or "").encode().split()
+        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        covered = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        want[i, not failed and ratio >= -0.2 * (1 << 20) * len(g)] += 1
+    assert Counter((r.doc_id, r.kept) for r in quality_rules.rules(docs, labels).collect()) == want
+
+
 def test_repeat_words_long_path(monkeypatch):
     words = [b"a", b"b", b"c", b"d", b"e", b"x", b"a", b"b", b"c", b"d", b"e"]
     assert textstats.repeat_words(words) == 10
@@ -465,11 +502,36 @@ def test_token_counts_against_greedy():
 
 
 def test_token_counts_query(docs, rows, none):
-    got = token_counts.token_counts(docs, tokenizer_file(BPE_FILE)).collect()
-    assert len(got) == len(rows) and all(r.n_tokens >= r.n_words for r in got)
+    initial, rest = map(set, token_counts.pieces(tokenizer_file(BPE_FILE)))
+
+    def greedy(w):
+        at = n = 0
+        while at < len(w):
+            end = next((e for e in range(len(w), at, -1) if w[at:e] in (rest if at else initial)), None)
+            if end is None:
+                return 1
+            n, at = n + 1, end
+        return n
+
+    got = Counter(map(tuple, token_counts.token_counts(docs, tokenizer_file(BPE_FILE)).collect()))
+    want = Counter()
+    for i, t, *_ in rows:
+        words = (t or "").encode().split()
+        want[i, len(words), sum(map(greedy, words))] += 1
+    assert got == want
     assert token_counts.token_counts(none, tokenizer_file(BPE_FILE)).count() == 0
 
 
+def test_bpe_refuses_other_tokenizers(tmp_path):
+    import json
+
+    file = json.load(open(tokenizer_file(BPE_FILE)))
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError):
+        bpe.load(str(tmp_path / "t.json"))
+
+
 def test_bpe(docs, rows, none):
     from tokenizers import Tokenizer
 
