@@ -36,3 +36,42 @@ def test_pipeline_links_all_texts_of_jaccard_four_fifths(spark):
     rows += [(20000, None), (20001, "")]
     kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert sorted(r.doc_id for r in kept) == [*range(60), *range(9000, 9060), 20000]
+
+
+def test_files_in_parts_lose_no_link(spark):
+    """Chains of texts that share a band: neighbours are alike, ends are not."""
+    import random
+
+    from stockwright.llm import jaccard
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts, now = [], words[:300]
+    for i in range(60):
+        texts.append(" ".join(now))
+        at = rng.randrange(290)
+        now = now[:at] + [f"n{i}", f"m{i}"] + now[at + 2 :]
+    texts += [" ".join(f"z{rng.randrange(50)}" for _ in range(40)) for _ in range(5)] + [texts[3], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [frozenset(tuple((t or "").split()[i : i + 5]) for i in range(max(0, len((t or "").split()) - 4))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (texts[i] or "") == (texts[j] or "") or both and both >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    for most in (2, 7, 512):
+        got = {}
+        for r in jaccard.alike(df, most=most).collect():
+            got.setdefault(r.component_key, set()).add(r.doc_id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())), most
