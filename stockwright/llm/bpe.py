@@ -28,7 +28,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from .inthash import IntMap
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN = 1_000_000
+KNOWN = 300_000
 #: Longer strings are encoded but not remembered.
 REMEMBER = 64
 #: Bytes of text that are handled at once.
@@ -79,19 +79,6 @@ def load(path: str) -> dict:
     return {"added_tokens": file["added_tokens"], "model": {k: model[k] for k in ("vocab", "merges")}}
 
 
-#: What a Python worker has built, by a digest of what it was built from. Workers
-#: serve many tasks, each of which would build it again.
-_BUILT: dict[str, object] = {}
-
-
-def built(key: str, make: Callable[[], object]):
-    """The object of a key, made once a worker."""
-    if key not in _BUILT:
-        _BUILT.clear()  # one at a time: the tables are large
-        _BUILT[key] = make()
-    return _BUILT[key]
-
-
 class Bpe:
     def __init__(self, model: dict, known: int = KNOWN):
         import regex
@@ -381,11 +368,10 @@ def batches(texts: pa.Array, most: int = BATCH) -> Iterator[list[str]]:
 def encode_column(text: Column, path: str) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column."""
     model = load(path)
-    key = hashlib.sha256(json.dumps(model).encode()).hexdigest()
 
     @F.arrow_udf(RESULT)
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = built(f"bpe {key}", lambda: Bpe(model))
+        bpe = Bpe(model)  # for the task alone: a worker that kept it would crowd the executor's other work
         for texts in parts:
             n, ids_sha, text_sha = [], [], []
             for some in batches(texts):
