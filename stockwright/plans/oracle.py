@@ -176,7 +176,7 @@ log AS MATERIALIZED (SELECT * FROM (SELECT *, lag(y) OVER (PARTITION BY series_i
 
 
 def r(x: str, name: str | None = None) -> str:
-    return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 6) ELSE round({x}, 3) END + 0.0 AS {name or x.split('.')[-1]}"
+    return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 6) ELSE round({x} + 3e-6, 3) END + 0.0 AS {name or x.split('.')[-1]}"
 
 
 def rs(*names: str) -> str:

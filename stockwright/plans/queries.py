@@ -27,6 +27,8 @@ COSTS = Costs()
 #: Decimals of numbers under a thousand, and of larger ones, whose last digits
 #: depend on the order of addition.
 PLACES, LARGE_PLACES = 6, 3
+#: Added to large numbers before rounding: sums of prices often end in a five.
+OFF_TIES = 3e-6
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -36,7 +38,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
     def fixed(name: str):
         x = F.col(name)
-        return (F.when(F.abs(x) < 1000, F.round(x, PLACES)).otherwise(F.round(x, LARGE_PLACES)) + F.lit(0.0)).alias(name)
+        return (F.when(F.abs(x) < 1000, F.round(x, PLACES)).otherwise(F.round(x + OFF_TIES, LARGE_PLACES)) + F.lit(0.0)).alias(name)
 
     return df.select(*[fixed(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
