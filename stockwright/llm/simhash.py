@@ -36,8 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, row_key
+from .common import Scratch, row_key
 from .components import components, hand_out
+from .filters import candidates, make_filter
 
 MAX_DISTANCE = 4
 BLOCKS = 7
@@ -221,15 +222,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     where a component has no other; of rows that share that doc_id one text
     stays). Rows that repeat the same doc_id and text count once. With a
     ``threshold`` texts link by the Jaccard similarity of their shingles
-    (``jaccard.alike``), else by fingerprints of four-word shingles."""
-    key = free_name("row_key_", docs.columns)
+    (``jaccard.alike``), else by fingerprints of four-word shingles. Rows whose
+    text is in no component of several rows pass where they are; only the others
+    are exchanged."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
     if threshold is None:
         near = near_duplicates(docs, id_col, text_col)
     else:
         from .jaccard import alike
 
         near = alike(docs, id_col, text_col, shingle, threshold).withColumn("fingerprint", F.lit(""))
+    near = scratch.keep(near.select("doc_id", "fingerprint", "text_key", "component_key"), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "text_key")).alias("s")
-    stays = near.groupBy("component_key").agg(first).select(row_key(F.col("s.text_key"), F.col("s.doc_id")).alias(key))
-    keyed = docs.withColumn(key, row_key(F.xxhash64(text_col), F.col(id_col)))
-    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    least = scratch.keep(near.groupBy("component_key").agg(first, F.count(F.lit(1)).alias("n")), "least")
+    several = least.where("n > 1").select(F.col("component_key").alias("digest"))
+    crowded = candidates(scratch, near.select("text_key", F.col("component_key").alias("digest")), several)
+    crowded = scratch.keep(crowded.select(F.col("text_key").alias("digest")).distinct(), "crowded")
+    found = make_filter(scratch, crowded, crowded.count())
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return found.mark(rows, "_may") if found.bounded else rows.withColumn("_may", F.lit(True))
+
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # a clashing column is not in the way
+    rows = marked(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()], F.xxhash64(text_col).alias("digest")))
+    # the first rows of single components that pass the filter are among them
+    stays = marked(least.select(F.col("s.text_key").alias("digest"), F.col("s.doc_id").alias("doc_id"))).where("_may")
+    stays = stays.select(row_key(F.col("digest"), F.col("doc_id")).alias("_key"))
+    mine = rows.where("_may").withColumn("_key", row_key(F.col("digest"), F.col(own[id_col]))).join(stays, "_key", "left_semi").dropDuplicates(["_key"])
+    return rows.where("NOT _may").select(*own.values()).unionByName(mine.select(*own.values())).toDF(*docs.columns)
