@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .filters import candidates
+from .filters import candidates, make_filter
 
 #: Length of an n-gram in bytes; four letters, or a letter or two of other scripts.
 N = 4
@@ -75,12 +75,20 @@ def count(docs: DataFrame, parts: int = 1) -> np.ndarray:
 
 
 def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of docs (_id, ...) whose _id is among those of ``trusted``. Only
-    rows that a bitmap of the ids lets pass are exchanged."""
+    """The rows of docs (_id, ...) whose _id is among those of ``trusted``. Rows
+    that pass a bitmap of these ids by mistake are found by their ids alone and
+    get a bitmap of their own; only rows that pass both are exchanged."""
     scratch = Scratch(docs.sparkSession, "trusted")
     ids = scratch.keep(trusted.where(F.col("_id").isNotNull()).select("_id").distinct(), "ids")
     keyed = docs.where(F.col("_id").isNotNull()).withColumn("digest", F.xxhash64(F.col("_id")))
-    return candidates(scratch, keyed, ids.select(F.xxhash64("_id").alias("digest"))).drop("digest").join(ids, "_id", "left_semi")
+    may = candidates(scratch, keyed, ids.select(F.xxhash64("_id").alias("digest")))
+    wrong = scratch.keep(may.select("_id", "digest").join(ids, "_id", "left_anti").select("digest").distinct(), "wrong")
+    doubt = make_filter(scratch, wrong, wrong.count())
+    if not doubt.bounded:
+        return may.drop("digest").join(ids, "_id", "left_semi")
+    marked = doubt.mark(may, "_doubt")
+    sure = marked.where("NOT _doubt").drop("digest", "_doubt")
+    return sure.unionByName(marked.where("_doubt").drop("digest", "_doubt").join(ids, "_id", "left_semi"))
 
 
 def count_sides(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
