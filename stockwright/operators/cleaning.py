@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,11 +21,15 @@ def is_cancel(invoice: Column, quantity: Column) -> Column:
     return F.coalesce(invoice.startswith("C") & (quantity < 0), F.lit(False))
 
 
-def first_failed_rule(first_week=None, last_week=None) -> Column:
+def whole_weeks(first: date, last: date) -> tuple[date, date]:
+    """Mondays of the first and last weeks that lie whole between two days."""
+    return first + timedelta(days=-first.weekday() % 7), last - timedelta(days=(last.weekday() + 1) % 7 + 6)
+
+
+def first_failed_rule() -> Column:
     """Name of the first rule that drops a line; null if none does."""
     cancel = F.coalesce(F.col("invoice").startswith("C"), F.lit(False))
-    rules = F.when(~F.coalesce(F.col("stock_code").rlike(PRODUCT), F.lit(False)), F.lit("1 not a product code")).when(~cancel & ~F.coalesce(F.col("quantity") > 0, F.lit(False)), F.lit("2 negative, no cancellation")).when(~F.coalesce(F.col("price_gbp") > 0, F.lit(False)), F.lit("3 price not positive"))
-    return rules
+    return F.when(~F.coalesce(F.col("stock_code").rlike(PRODUCT), F.lit(False)), F.lit("1 not a product code")).when(~cancel & ~F.coalesce(F.col("quantity") > 0, F.lit(False)), F.lit("2 negative, no cancellation")).when(~F.coalesce(F.col("price_gbp") > 0, F.lit(False)), F.lit("3 price not positive"))
 
 
 def drop_sheet_overlap(lines: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def cleaning_log(lines: DataFrame) -> DataFrame:
     return t.groupBy("rule").agg(F.count(F.lit(1)).alias("n_rows"), sold.alias("sold_units"), back.alias("returned_units"))
 
 
-def clean_lines(lines: DataFrame, first_week=None, last_week=None) -> DataFrame:
+def clean_lines(lines: DataFrame, first_week: date | None = None, last_week: date | None = None) -> DataFrame:
     """All rules in order, netting, then whole weeks only; adds week."""
     t = lines.withColumn("stock_code", normal_code(F.col("stock_code")))
     if "sheet" in t.columns:

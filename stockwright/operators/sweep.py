@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from ..functions.mathx import z
 
-TARGETS = (0.5, 0.8, 0.9, 0.95, 0.975, 0.99, 0.995, 0.999)
+#: Service levels of a sweep; those past 99 % keep optima off the grid's edge
+#: where holding is cheap (fixed values).
+TARGETS = (*(n / 100 for n in range(80, 100)), 0.995, 0.999, 0.9995, 0.9999, 0.99995, 0.99999, 0.999999)
 LOTS = (0.0, 0.5, 1.0, 2.0, 4.0)
 SCALE = 10**8
 

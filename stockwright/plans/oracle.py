@@ -64,7 +64,7 @@ def _panel(p: str, source: str) -> str:
     first_value(p0 IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM {p}raw)"""
 
 
-def _sim(name: str, source: str, keys: str) -> str:
+def _sim(name: str, source: str, keys: str, lead: int = L) -> str:
     """Recursive simulation over rows (keys, fold, series_id, s, up_to, start, …)."""
     k = keys.split(", ")
     on = " AND ".join(f"r.{c} = x.{c}" for c in k)
@@ -77,7 +77,7 @@ def _sim(name: str, source: str, keys: str) -> str:
          CAST(0 AS DOUBLE) AS shipped, CAST(0 AS DOUBLE) AS demanded, CAST(0 AS DOUBLE) AS lost, CAST(0 AS DOUBLE) AS stocked, CAST(0 AS DOUBLE) AS qty, CAST(0 AS DOUBLE) AS qty_sq
   FROM {name}_in
   UNION ALL
-  SELECT rid, t + 1, remain, CASE WHEN places THEN t + {L} WHEN waiting THEN due ELSE -1 END, CASE WHEN places THEN up_to - remain WHEN waiting THEN coming ELSE 0 END,
+  SELECT rid, t + 1, remain, CASE WHEN places THEN t + {lead} WHEN waiting THEN due ELSE -1 END, CASE WHEN places THEN up_to - remain WHEN waiting THEN coming ELSE 0 END,
          CASE WHEN places THEN false ELSE short2 END, CASE WHEN places THEN 0 ELSE exposure2 END,
          cycles + arr, stockouts + arr * CAST(short AS INT), sizing + arr * CAST(short AND exposure > s + 1e-9 AS INT), orders + CAST(places AS INT), small + CAST(places AND up_to - remain < 1 AS INT),
          shipped + sold, demanded + dem, lost + dem - sold, stocked + remain, qty + CASE WHEN places THEN up_to - remain ELSE 0 END, qty_sq + CASE WHEN places THEN (up_to - remain) * (up_to - remain) ELSE 0 END
@@ -102,7 +102,9 @@ pts AS MATERIALIZED (
          CASE m.model WHEN 'CrostonClassic' THEN coalesce(c.size / c.gap, 0.0) WHEN 'CrostonSBA' THEN coalesce(c.size / c.gap, 0.0) * {d(1 - ALPHA / 2)} ELSE coalesce(c.p * c.size, 0.0) END
   FROM origins o, steps h, states c, (VALUES ('CrostonClassic'), ('CrostonSBA'), ('TSB')) m(model) WHERE c.date = o.train_end)"""
 
-CHAIN = f"""WITH RECURSIVE
+def chain(lead: int = L) -> str:
+    """All steps, for a lead time."""
+    return f"""WITH RECURSIVE
 ship AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, l_quantity AS units, l_extendedprice / nullif(l_quantity, 0) AS unit_price,
          p_brand AS brand, p_type AS type, l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey),
 dlines AS (SELECT brand || '|' || type AS series_id, week, units, unit_price FROM ship),
@@ -128,7 +130,7 @@ states AS (
   FROM states s JOIN nth x ON s.series_id = x.series_id AND x.n = s.n + 1),
 steps AS (SELECT CAST(unnest(generate_series(1, {G.horizon})) AS INT) AS step),
 origins AS MATERIALIZED (SELECT fold, back, train_end - {7 * G.horizon} * back AS train_end FROM folds, (VALUES (0), (1), (2)) b(back)
-  UNION ALL SELECT 0, 0, train_end - {7 * L} FROM folds WHERE fold = 1),
+  UNION ALL SELECT 0, 0, train_end - {7 * lead} FROM folds WHERE fold = 1),
 {PTS.strip()},
 act AS (SELECT p.*, CAST(p.train_end + 7 * p.step AS DATE) AS date, u.y AS actual FROM pts p LEFT JOIN units u ON u.series_id = p.series_id AND u.date = CAST(p.train_end + 7 * p.step AS DATE)),
 q0 AS (SELECT fold, model, series_id, step, max(CASE WHEN back = 0 THEN date END) AS date, max(CASE WHEN back = 0 THEN p50 END) AS p50, max(CASE WHEN back = 0 THEN actual END) AS y,
@@ -142,10 +144,10 @@ acc AS MATERIALIZED (SELECT a.*, b.* EXCLUDE (fold, model) FROM
    FROM ps LEFT JOIN wts w ON ps.fold = w.fold AND ps.series_id = w.series_id GROUP BY 1, 2) a
   JOIN (SELECT fold, model, avg(greatest(0.1::DOUBLE * (y - p10), (0.1::DOUBLE - 1) * (y - p10))) AS pinball_p10, avg(greatest(0.5::DOUBLE * (y - p50), (0.5::DOUBLE - 1) * (y - p50))) AS pinball_p50,
         avg(greatest(0.9::DOUBLE * (y - p90), (0.9::DOUBLE - 1) * (y - p90))) AS pinball_p90, avg(CASE WHEN y BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END) AS coverage_80 FROM cache GROUP BY 1, 2) b ON a.fold = b.fold AND a.model = b.model),
-lead AS MATERIALIZED (SELECT fold, model, series_id, sum(p50) AS mean, sqrt(sum(((p90 - p10) / (2 * {d(Z90)})) * ((p90 - p10) / (2 * {d(Z90)})))) AS std FROM cache WHERE step <= {L} GROUP BY 1, 2, 3),
-res AS MATERIALIZED (SELECT fold, model, series_id, coalesce(sum(y), 0) - sum(p50) AS residual FROM cache WHERE step <= {L} GROUP BY 1, 2, 3),
+lead AS MATERIALIZED (SELECT fold, model, series_id, sum(p50) AS mean, sqrt(sum(((p90 - p10) / (2 * {d(Z90)})) * ((p90 - p10) / (2 * {d(Z90)})))) AS std FROM cache WHERE step <= {lead} GROUP BY 1, 2, 3),
+res AS MATERIALIZED (SELECT fold, model, series_id, coalesce(sum(y), 0) - sum(p50) AS residual FROM cache WHERE step <= {lead} GROUP BY 1, 2, 3),
 chained AS (SELECT fold + 1 AS fold, model, series_id, residual FROM res WHERE fold < {G.n_folds}
-  UNION ALL SELECT 1, model, series_id, coalesce(sum(actual), 0) - sum(p50) FROM act WHERE fold = 0 AND step <= {L} GROUP BY 2, 3),
+  UNION ALL SELECT 1, model, series_id, coalesce(sum(actual), 0) - sum(p50) FROM act WHERE fold = 0 AND step <= {lead} GROUP BY 2, 3),
 rb AS (SELECT c.*, CASE WHEN s.zero_rate > 0.5 THEN 'intermittent' ELSE 'regular' END AS bucket FROM chained c LEFT JOIN stats s ON c.fold = s.fold AND c.series_id = s.series_id),
 sigma AS MATERIALIZED (SELECT r.fold, r.model, r.series_id, coalesce(b.sd, e.sd) AS sigma FROM rb r JOIN (SELECT fold, model, bucket, stddev_samp(residual) AS sd FROM rb GROUP BY 1, 2, 3) b ON r.fold = b.fold AND r.model = b.model AND r.bucket = b.bucket
   JOIN (SELECT fold, model, stddev_samp(residual) AS sd FROM rb GROUP BY 1, 2) e ON r.fold = e.fold AND r.model = e.model),
@@ -156,13 +158,13 @@ dem AS MATERIALIZED (SELECT f.fold, u.series_id, CAST((u.date - f.test_start) /
 pol AS MATERIALIZED (SELECT l.fold, l.model, l.series_id, l.mean, s.sigma AS std, {d(Z95)} * s.sigma AS safety_stock, l.mean + {d(Z95)} * s.sigma AS rp, p.unit_price
   FROM lead l JOIN sigma s ON l.fold = s.fold AND l.model = s.model AND l.series_id = s.series_id JOIN prices p ON l.fold = p.fold AND l.series_id = p.series_id),
 pol2 AS (SELECT pol.*, lot AS lot_multiple, round(rp, 6) AS s, round(rp + lot * greatest(mean, 0), 6) AS up_to, round(rp + 0.5 * (lot * greatest(mean, 0)), 6) AS start FROM pol, (VALUES (CAST(0 AS DOUBLE)), (CAST(2 AS DOUBLE))) m(lot)),
-{_sim("det", "pol2", "fold, model, series_id, lot_multiple").strip()},
+{_sim("det", "pol2", "fold, model, series_id, lot_multiple", lead).strip()},
 grid(target_id, target, zz) AS (VALUES {", ".join(f"({target_id(t)}, {d(t)}, {d(z(t))})" for t in TARGETS)}),
 pol3 AS (SELECT p.*, lot AS lot_multiple, g.target_id, round(mean + zz * std, 6) AS s, round(mean + zz * std + lot * greatest(mean, 0), 6) AS up_to, round(mean + zz * std + 0.5 * (lot * greatest(mean, 0)), 6) AS start
   FROM pol p, grid g, (VALUES (CAST(0 AS DOUBLE)), (CAST(2 AS DOUBLE))) m(lot)),
-{_sim("swept", "pol3", "fold, model, series_id, lot_multiple, target_id").strip()},
+{_sim("swept", "pol3", "fold, model, series_id, lot_multiple, target_id", lead).strip()},
 pairs AS MATERIALIZED (SELECT a.model AS a, b.model AS b, a.fold, a.series_id, a.step, a.p50 AS va, b.p50 AS vb, a.y FROM cache a JOIN cache b ON a.fold = b.fold AND a.series_id = b.series_id AND a.step = b.step AND a.model < b.model),
-blocks AS MATERIALIZED (SELECT model, fold, series_id, CAST((step - 1) // {L} AS INT) AS block, sum(p50) AS p50, sum(y) AS y FROM cache GROUP BY 1, 2, 3, 4 HAVING count(*) = {L}),
+blocks AS MATERIALIZED (SELECT model, fold, series_id, CAST((step - 1) // {lead} AS INT) AS block, sum(p50) AS p50, sum(y) AS y FROM cache GROUP BY 1, 2, 3, 4 HAVING count(*) = {lead}),
 parts AS MATERIALIZED (SELECT lot_multiple, model, avg(v) / {G.periods_per_year} AS holding_per_rate, avg(so) AS stockout FROM
   (SELECT lot_multiple, model, fold, sum(stocked * unit_price * {d(1 - MARGIN)}) AS v, sum(stockout_cost) AS so FROM det GROUP BY 1, 2, 3) GROUP BY 1, 2),
 curve AS MATERIALIZED (SELECT target_id, lot_multiple, model, avg(total_cost) AS total_cost, avg(holding_cost) AS holding_cost, avg(stockout_cost) AS stockout_cost, avg(csl) AS csl, avg(fill) AS fill FROM
@@ -175,6 +177,9 @@ log AS MATERIALIZED (SELECT * FROM (SELECT *, lag(y) OVER (PARTITION BY series_i
 """
 
 
+CHAIN = chain()
+
+
 def r(x: str, name: str | None = None) -> str:
     return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 6) ELSE round({x} + 3e-6, 3) END + 0.0 AS {name or x.split('.')[-1]}"
 

@@ -55,8 +55,18 @@ def query(f: Callable[[Base], DataFrame]) -> Callable[[Base], DataFrame]:
 class Base:
     """Tables that queries share; each is planned once per query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    #: What does not depend on the lead time.
+    SHARED = ("lines", "units", "end", "folds", "measures", "scales", "stats", "priced", "price_stats", "prices", "arrays", "demand")
+
+    def __init__(self, spark: SparkSession, sf_dir: str, lead: int = LEAD):
+        self.spark, self.dir, self.lead = spark, sf_dir, lead
+
+    def at(self, lead: int) -> Base:
+        """The same tables, sized for another lead time."""
+        shared = {name: getattr(self, name) for name in ("prices", "arrays", "stats", "demand")}
+        other = Base(self.spark, self.dir, lead)
+        other.__dict__.update({name: self.__dict__[name] for name in self.SHARED if name in self.__dict__} | shared)
+        return other
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -127,19 +137,19 @@ class Base:
     def point_cache(self) -> DataFrame:
         """Point forecasts and demand over the first lead time of each fold and
         of the calibration split before the first (fold 0)."""
-        first = self.folds.where("fold = 1").select(F.lit(0).alias("fold"), WEEKLY.shift(F.col("train_end"), -LEAD).alias("train_end"))
+        first = self.folds.where("fold = 1").select(F.lit(0).alias("fold"), WEEKLY.shift(F.col("train_end"), -self.lead).alias("train_end"))
         origins = self.folds.select("fold", "train_end").unionByName(first)
-        p = registry.points(self.arrays, origins, registry.LADDER, LEAD, WEEKLY)
+        p = registry.points(self.arrays, origins, registry.LADDER, self.lead, WEEKLY)
         return p.withColumnRenamed("actual", "y")
 
     @cached_property
     def residuals(self) -> DataFrame:
-        return decision.lead_time_residuals(self.point_cache.where("fold > 0"), LEAD)
+        return decision.lead_time_residuals(self.point_cache.where("fold > 0"), self.lead)
 
     @cached_property
     def chained(self) -> DataFrame:
         """Residuals that size each fold: those of the fold before it."""
-        past = decision.lead_time_residuals(self.point_cache.where(F.col("fold") < WEEKLY.n_folds), LEAD)
+        past = decision.lead_time_residuals(self.point_cache.where(F.col("fold") < WEEKLY.n_folds), self.lead)
         return past.withColumn("fold", F.col("fold") + 1)
 
     @cached_property
@@ -148,13 +158,13 @@ class Base:
 
     @cached_property
     def lead_stats(self) -> DataFrame:
-        return decision.lead_time_stats(self.cache, LEAD)
+        return decision.lead_time_stats(self.cache, self.lead)
 
     @cached_property
     def lead_means(self) -> DataFrame:
         """Lead-time means alone, which need no intervals."""
         p = self.point_cache.where("fold > 0").withColumns({"p10": F.col("p50"), "p90": F.col("p50")})
-        return decision.lead_time_stats(p, LEAD)
+        return decision.lead_time_stats(p, self.lead)
 
     @cached_property
     def policy(self) -> DataFrame:
@@ -169,13 +179,13 @@ class Base:
     @cached_property
     def detail(self) -> DataFrame:
         prices = self.prices
-        return simulate.priced(simulate.detail(self.policy, self.demand, prices, LEAD, (0.0, 2.0)), COSTS, WEEKLY)
+        return simulate.priced(simulate.detail(self.policy, self.demand, prices, self.lead, (0.0, 2.0)), COSTS, WEEKLY)
 
     @cached_property
     def swept(self) -> DataFrame:
         prices = self.prices
         p = sweep.policies(self.lead_means, self.sigma, sweep.targets(self.spark))
-        return simulate.priced(simulate.detail(p, self.demand, prices, LEAD, (0.0, 2.0)), COSTS, WEEKLY)
+        return simulate.priced(simulate.detail(p, self.demand, prices, self.lead, (0.0, 2.0)), COSTS, WEEKLY)
 
     @cached_property
     def invoices(self) -> DataFrame:
