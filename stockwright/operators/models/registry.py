@@ -9,7 +9,7 @@ of models and folds.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import date
 
 import numpy as np
@@ -184,6 +184,33 @@ def _half_width(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(~np.isnan(both), both, np.where(~np.isnan(a), a, np.where(~np.isnan(b), b, 0.0)))
 
 
+class Forecasts:
+    """Points of models over the test windows of all folds, handed to a function
+    of whole batches of series where they are made: what is summed there is
+    never a table of rows."""
+
+    def __init__(self, arrays_: DataFrame, models: Iterable[str], grain: Grain, end: date):
+        self.arrays, self.models, self.grain = arrays_, list(models), grain
+        self.folds = [(fold, _days(train_end)) for fold, train_end, _, _ in fold_rows(end, grain)]
+        check(self.models)
+        if unfit := [n for n in self.models if n not in LOCAL]:
+            raise ValueError(f"{unfit}: global models forecast through quantiles")
+
+    def map(self, reduce: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """Rows that ``reduce`` makes of points (model, series, fold, step) and
+        actual values (series, fold, step). NaN: no forecast, or not known."""
+        names, folds, grain = self.models, self.folds, self.grain
+
+        def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b = _Batch(batch, grain)
+                p = np.array([[b.points(name, day, grain.horizon, grain) for _, day in folds] for name in names])
+                y = np.array([b.actual(day, grain.horizon) for _, day in folds])
+                yield from reduce(p.transpose(0, 2, 1, 3), y.transpose(1, 0, 2))
+
+        return self.arrays.select("series_id", "start", "ys").mapInArrow(forecast, schema)
+
+
 CACHE = "fold int, model string, series_id string, step int, date date, p10 double, p50 double, p90 double, y double"
 
 

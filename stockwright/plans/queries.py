@@ -133,6 +133,10 @@ class Base:
     def cache(self) -> DataFrame:
         return registry.quantiles(self.units, registry.LADDER, WEEKLY, self.end, self.arrays)
 
+    @cached_property
+    def forecasts(self) -> registry.Forecasts:
+        return registry.Forecasts(self.arrays, registry.LADDER, WEEKLY, self.end)
+
     @cached_property
     def point_cache(self) -> DataFrame:
         """Point forecasts and demand over the first lead time of each fold and
@@ -344,22 +348,22 @@ def bucket_accuracy(b: Base) -> DataFrame:
 
 @query
 def pairwise_correlation(b: Base) -> DataFrame:
-    return metrics.correlations(b.cache)
+    return metrics.correlations(b.forecasts)
 
 
 @query
 def mean_abs_diff(b: Base) -> DataFrame:
-    return metrics.mean_abs_differences(b.cache)
+    return metrics.mean_abs_differences(b.forecasts)
 
 
 @query
 def close_fractions(b: Base) -> DataFrame:
-    return metrics.close_fractions(b.cache)
+    return metrics.close_fractions(b.forecasts)
 
 
 @query
 def close_summary(b: Base) -> DataFrame:
-    return metrics.close_summary(b.cache)
+    return metrics.close_summary(b.forecasts)
 
 
 @query
@@ -369,12 +373,12 @@ def leadtime_blocks(b: Base) -> DataFrame:
 
 @query
 def leadtime_comparison(b: Base) -> DataFrame:
-    return metrics.lead_time_comparison(b.cache, LEAD)
+    return metrics.lead_time_comparison(b.forecasts, LEAD)
 
 
 @query
 def divergence_headline(b: Base) -> DataFrame:
-    return metrics.headline(b.cache)
+    return metrics.headline(b.forecasts)
 
 
 @query
