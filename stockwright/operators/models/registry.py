@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import date
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from ...grain import Grain
 from ..folds import fold_rows
 from ..panel import near_median
 from .fitted import FITTED
-from .native import NATIVE
+from .native import KEPT, NATIVE
 
 LADDER = ("SeasonalNaive", "MovingAverage", "CrostonClassic", "CrostonSBA", "TSB")
 #: Global models are fitted on all series (see ``quantiles``).
@@ -114,6 +115,8 @@ class _Batch:
         self.size = pa.compute.list_value_length(ys).to_numpy(zero_copy_only=False).astype(np.int64)
         self.flat = ys.flatten().to_numpy(zero_copy_only=False)
         self.at = np.cumsum(self.size) - self.size
+        self.states: dict[type, object] = {}
+        self.rates: dict[tuple[type, int], np.ndarray] = {}
 
     def length(self, day: int) -> np.ndarray:
         """Periods of each series up to a day."""
@@ -122,11 +125,33 @@ class _Batch:
     def points(self, name: str, day: int, horizon: int, grain: Grain) -> np.ndarray:
         """Points by series and step from a day on; NaN without history."""
         n, out = self.length(day), np.full((len(self.size), horizon), np.nan)
+        if name in NATIVE and self.columns is not None and len(n) and n.min() == n.max() > 0:
+            return np.maximum(self._native(name, int(n[0]), horizon, grain), 0.0)
         for size in np.unique(n[n > 0]).tolist():
             rows = np.flatnonzero(n == size)
             out[rows] = LOCAL[name](self.flat[self.at[rows][:, None] + np.arange(size)], horizon, grain)
         return np.maximum(out, 0.0)
 
+    @cached_property
+    def columns(self) -> np.ndarray | None:
+        """Values by period and series, where all series have one length."""
+        if not len(self.size) or self.size.min() != self.size.max():
+            return None
+        return np.ascontiguousarray(self.flat.reshape(len(self.size), -1).T)
+
+    def _native(self, name: str, n: int, horizon: int, grain: Grain) -> np.ndarray:
+        """Points from the first n periods. States are kept: a later origin goes
+        on from an earlier one, and models with one state share it."""
+        y = self.columns[:n].T
+        if name not in KEPT:
+            return NATIVE[name](y, horizon, grain)
+        kind, factor = KEPT[name]
+        if (kind, n) not in self.rates:
+            if kind not in self.states or self.states[kind].t > n:
+                self.states[kind] = kind(len(y))
+            self.rates[kind, n] = self.states[kind].upto(y)
+        return np.repeat(np.maximum(self.rates[kind, n] * factor, 0.0)[:, None], horizon, axis=1)
+
     def actual(self, day: int, horizon: int) -> np.ndarray:
         """Values of the periods after a day; NaN beyond a series' last."""
         place = ((day - self.start) // self.days + 1)[:, None] + np.arange(horizon)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.mathx import Z90, cut_rank, z
 from ..functions.ranks import ranks
 from ..grain import WEEKLY
-from ..operators import bootstrap, cleaning, decision, economics, exog, features, findings, folds, hierarchy, metrics, monitor, panel, serve, simulate, sweep
+from ..operators import bootstrap, cleaning, decision, economics, exog, features, findings, folds, hierarchy, metrics, monitor, panel, runs, serve, simulate, sweep
 from ..operators.economics import Costs
 from ..operators.models import registry
 from ..sources import tables
@@ -176,6 +176,12 @@ class Base:
         stats = self.lead_means.drop("std").join(self.sigma.withColumnRenamed("sigma", "std"), ["fold", "model", "series_id"])
         return decision.csl_policy(stats, LEVEL)
 
+    @cached_property
+    def grid(self) -> runs.Grid:
+        """Runs whose tables are sums over series."""
+        stats = self.price_stats  # arrays with prices serve all steps
+        return runs.Grid(self.priced, stats, folds.fold_rows(self.end, WEEKLY), registry.LADDER, self.lead, WEEKLY)
+
     @cached_property
     def demand(self) -> DataFrame:
         return simulate.demands(self.arrays, self.folds, WEEKLY)
