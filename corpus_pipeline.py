@@ -25,8 +25,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or
-    more) the row with the smallest doc_id stays."""
+    """Of each group of near-duplicates (SimHash fingerprints of five-word
+    shingles, and Jaccard 0.8 or more, which these alone would miss) the row with
+    the smallest doc_id stays."""
     return simhash.keep_one(docs, shingle=5, threshold=0.8)
 
 

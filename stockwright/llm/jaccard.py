@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from .common import Scratch
 from .components import components
 from .filters import candidates
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_column, shingle_hashes
+from .simhash import links as simhash_links
 
 BANDS = 20
 ROWS = 4
@@ -60,15 +61,16 @@ def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def _forest(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Spanning forest of the links among members of a file."""
+    """(first, member) of every tree of the links among members of a file, so
+    that a group which shares many bands gives the same edges in each of them."""
     left, edges = list(range(len(ids))), []
     while left:
-        front, left = [left[0]], left[1:]
+        root, front, left = ids[left[0]], [left[0]], left[1:]
         while front and left:
             at, rest = front.pop(), []
             for y in left:
                 if _near(sets[at], sets[y], threshold):
-                    edges.append((ids[at], ids[y]))
+                    edges.append((root, ids[y]))
                     front.append(y)
                 else:
                     rest.append(y)
@@ -77,12 +79,15 @@ def _forest(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[tu
 
 
 def _with_first(first: int, edges: list[tuple[int, int]]) -> set[int]:
-    """Members of the first one's tree of a forest, whose edges come in order."""
-    out = {first}
-    for a, b in edges:
-        if a in out:
-            out.add(b)
-    return out
+    """Members of the first one's tree."""
+    return {first} | {b for a, b in edges if a == first}
+
+
+def _named(names: dict[int, int], vertex: int) -> int:
+    """The name of a vertex's tree."""
+    while names.setdefault(vertex, vertex) != vertex:
+        names[vertex] = vertex = names[names[vertex]]
+    return vertex
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -135,22 +140,25 @@ def _linker(threshold: float):
 def _visits(threshold: float):
     """mapInArrow function over rows (file, part, visits, alone, vertex,
     shingles) sorted by file, part and visits: links of visitors with a part's
-    members, all of those that are alone and one of the others. Visitors are not
-    held, so memory is a part's whatever their number."""
+    members. Those that hang on the file's first member are one tree, so a link
+    with any of them is one with the first, in whatever part; a link within a
+    tree is none. Visitors' texts are not held, so a part is all that memory
+    holds of them."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, out = None, [], []
+        key, members, names, out = None, [], {}, []
         for file, part, visits, alone, vertex, shingles in _rows(batches):
             if key != (file, part):
-                key, members = (file, part), []
+                key, members, names = (file, part), [], {}
             if not visits:
                 members.append((alone, vertex, shingles))
                 continue
-            hung = False
+            first = min(v for _, v, _ in members)  # every part holds it
             for lone, other, its in members:
-                if (lone or not hung) and other != vertex and _near(shingles, its, threshold):
-                    out.append((0, vertex, other))
-                    hung = hung or not lone
+                other_tree = other if lone else first
+                if other != vertex and _named(names, vertex) != _named(names, other_tree) and _near(shingles, its, threshold):
+                    names[_named(names, vertex)] = _named(names, other_tree)
+                    out.append((0, vertex, other_tree))
             if len(out) > 10_000:
                 yield _found(out)
                 out = []
@@ -196,13 +204,29 @@ def links(scratch: Scratch, texts: DataFrame, signed: DataFrame, shingle: int, t
     return edges.unionByName(scratch.keep(more, "visits").select("a", "b"))
 
 
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, most: int = FILE) -> DataFrame:
+def by_fingerprint(scratch: Scratch, signed: DataFrame) -> DataFrame:
+    """(a, b): links that connect the vertices of signed (vertex, print) whose
+    fingerprints are linked (``simhash.links``), through the fingerprints."""
+    prints = scratch.keep(signed.groupBy("print").agg(F.count(F.lit(1)).alias("n")), "prints")
+    linked = scratch.keep(simhash_links(scratch, prints.select("print")).distinct(), "linked")
+    several = linked.select(F.col("a").alias("print")).unionByName(linked.select(F.col("b").alias("print"))).unionByName(prints.where("n > 1").select("print"))
+    several = scratch.keep(several.distinct(), "several")
+    return linked.select("a", "b").unionByName(signed.join(several, "print").select(F.col("vertex").alias("a"), F.col("print").alias("b")))
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, most: int = FILE, fingerprints: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, text_key (XXH64 of the text) and
-    component_key (a text_key that names the component)."""
+    component_key (a key that names the component). With ``fingerprints`` texts
+    link by SimHash too, whatever their similarity."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), _longs(F.col(text_col), lambda t: bands(shingle_hashes(t, shingle))).alias("values"))
+    text = F.col(text_col)
+    own = [fingerprint_column(text, shingle).alias("print")] if fingerprints else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), _longs(text, lambda t: bands(shingle_hashes(t, shingle))).alias("values"), *own)
     rows = scratch.keep(rows, "signed")
-    signed = rows.groupBy(F.col("text_key").alias("vertex")).agg(F.first("values").alias("values"))
-    texts = docs.select(F.xxhash64(text_col).alias("vertex"), F.col(text_col).alias("text"))
-    roots = components(scratch, links(scratch, texts, signed, shingle, threshold, most))
+    signed = rows.groupBy(F.col("text_key").alias("vertex")).agg(F.first("values").alias("values"), *[F.first("print").alias("print") for _ in own])
+    texts = docs.select(F.xxhash64(text_col).alias("vertex"), text.alias("text"))
+    edges = links(scratch, texts, signed.select("vertex", "values"), shingle, threshold, most)
+    if fingerprints:
+        edges = edges.unionByName(by_fingerprint(scratch, signed.select("vertex", "print")))
+    roots = components(scratch, edges)
     return rows.join(roots, rows["text_key"] == roots["vertex"], "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component_key"))

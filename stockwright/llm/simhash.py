@@ -75,12 +75,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint_column(text: Column) -> Column:
+def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     """A text column's fingerprints as signed longs (the same 64 bits)."""
 
     @F.arrow_udf(T.LongType())
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.fromiter((fingerprint(t) for t in texts.to_pylist()), dtype=np.uint64, count=len(texts)).view(np.int64))
+        return pa.array(np.fromiter((fingerprint(t, shingle) for t in texts.to_pylist()), dtype=np.uint64, count=len(texts)).view(np.int64))
 
     return prints(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -221,8 +221,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     the smallest doc_id stays, with all columns of docs (null doc_ids stay only
     where a component has no other; of rows that share that doc_id one text
     stays). Rows that repeat the same doc_id and text count once. With a
-    ``threshold`` texts link by the Jaccard similarity of their shingles
-    (``jaccard.alike``), else by fingerprints of four-word shingles. Rows whose
+    ``threshold`` texts link by fingerprints of their shingles and, as these miss
+    pairs of that Jaccard similarity, by it too (``jaccard.alike``), else by
+    fingerprints of four-word shingles alone. Rows whose
     text is in no component of several rows pass where they are; only the others
     are exchanged."""
     scratch = Scratch(docs.sparkSession, "keep-one")
@@ -231,7 +232,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     else:
         from .jaccard import alike
 
-        near = alike(docs, id_col, text_col, shingle, threshold).withColumn("fingerprint", F.lit(""))
+        near = alike(docs, id_col, text_col, shingle, threshold, fingerprints=True).withColumn("fingerprint", F.lit(""))
     near = scratch.keep(near.select("doc_id", "fingerprint", "text_key", "component_key"), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "text_key")).alias("s")
     least = scratch.keep(near.groupBy("component_key").agg(first, F.count(F.lit(1)).alias("n")), "least")
